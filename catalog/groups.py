@@ -206,6 +206,29 @@ def predict_overrides(spark, sf_dir):
     return override_votes(df, series_votes(df))
 
 
+_LI_CTES = {
+    "series": summarise_sql(_KEYS, _TEXT_LI, "v_instances_li"),
+    "clean": sanitize_sql("exact", "series", ("study_uid", "series_uid", "patient_id", *_TEXT_LI)),
+    "flags": _FLAGS,
+}
+
+
+@query(
+    "predict_overrides_li",
+    views.oracle(
+        """SELECT v.patient_id, v.study_uid, v.series_uid, prediction,
+        CASE WHEN DWI THEN 'DWI' WHEN T2W THEN 'T2W' WHEN ADC THEN 'ADC' ELSE prediction END AS prediction_heuristics
+        FROM votes v JOIN flags f ON v.study_uid = f.study_uid AND v.series_uid = f.series_uid""",
+        "v_instances_li",
+        votes=_VOTES.replace("v_instances", "v_instances_li"),
+        **_LI_CTES,
+    ),
+)
+def predict_overrides_li(spark, sf_dir):
+    df = views.instances_li(spark, sf_dir).drop("instance_id")
+    return override_votes(df, series_votes(df))
+
+
 @query(
     "sort_predictions",
     views.oracle("SELECT study_uid, series_uid, prediction FROM votes", "v_instances", votes=_VOTES),

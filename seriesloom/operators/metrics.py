@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,13 +148,11 @@ def pairwise_auc(
     that each hold about 1/``buckets`` of the data, so one class never has to be sorted by one task.
     Finding the ranges reads the scores once.
     """
-    ranges = QuantileDiscretizer(
-        numBuckets=buckets,
-        inputCol="score",
-        outputCol="_range",
-        relativeError=1 / (4 * buckets),
-        handleInvalid="keep",
-    ).fit(scores.select("score"))
+    inner = [i / buckets for i in range(1, buckets)]
+    points = sorted(set(scores.approxQuantile("score", inner, 1 / (4 * buckets)))) or [0.0]
+    ranges = Bucketizer(
+        splits=[-math.inf, *points, math.inf], inputCol="score", outputCol="_range", handleInvalid="keep"
+    )
     n = [f"_n{i}" for i in range(len(labels))]
     tally = scores.groupBy(*by, "cls", "score").agg(
         *[F.count(F.when(F.col("y_true") == label, 1)).alias(c) for c, label in zip(n, labels)]

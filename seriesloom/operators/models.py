@@ -6,6 +6,7 @@ import json
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -35,6 +36,7 @@ from seriesloom.operators.rules import override
 from seriesloom.operators.split import group_kfold, hash_rank, stratified_kfold
 from seriesloom.operators.votes import mean_of, mode_of
 from seriesloom.roles import STANDARD, Roles
+from seriesloom.session import materialise
 
 
 def _log_uniform(low: float, high: float) -> Callable[[random.Random], float]:
@@ -244,9 +246,8 @@ def cv_train(
         held_out = without_nan_rows(prepared.filter(inside), model.plan.roles)
         models.append(model)
         parts.append(predict_rows(model, held_out, spec.row_key, spec.target))
-    predictions = parts[0]
-    for part in parts[1:]:
-        predictions = predictions.unionByName(part)
+    predictions = materialise(reduce(DataFrame.unionByName, parts), "predictions")
+    prepared.unpersist()
     return models, predictions
 
 
@@ -254,10 +255,7 @@ def score_holdout(models: Sequence[FoldModel], df: DataFrame, spec: TrainSpec) -
     """Predictions of every fold model on a held-out table."""
     prepared = without_nan_rows(prepare(df, spec, models[0].labels), spec.roles.present(df.columns))
     parts = [predict_rows(m, prepared, spec.row_key, spec.target) for m in models]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return materialise(reduce(DataFrame.unionByName, parts), "predictions")
 
 
 def ensemble_votes(models: Sequence[FoldModel], df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -312,8 +310,8 @@ def permutation_importance(
 ) -> DataFrame:
     """(class, feature, value): drop in each class's recall (or in −MSE) when one column is shuffled.
 
-    Values move between rows along two seeded orders of the row key, found per hash bucket; the rows
-    are never gathered.
+    Values move between rows along two seeded orders of the row key, found per hash bucket, in one
+    join for all columns.
     """
     roles = model.plan.roles
     names = list(columns or [*roles.text, *roles.number_token, *roles.numeric])
@@ -326,18 +324,22 @@ def permutation_importance(
         error = F.col("y_true") - F.col("y_pred")
         return scored.agg((-F.avg(error * error)).alias("q")).withColumn("class", F.lit("all"))
 
-    used = list(dict.fromkeys([*spec.row_key, spec.target, *roles.text, *roles.number_token, *roles.numeric]))
-    taken = hash_rank(df.select(*used), spec.row_key, spec.seed, "_to").persist()
-    base = quality(taken.drop("_to")).withColumnRenamed("q", "_base")
-    out = None
+    own = list(dict.fromkeys([*spec.row_key, spec.target, *roles.text, *roles.number_token, *roles.numeric]))
+    taken = hash_rank(df.select(*own), spec.row_key, spec.seed, "_place")
+    others = df.select(*spec.row_key, *[F.col(c).alias(f"_other_{c}") for c in names])
+    given = hash_rank(others, spec.row_key, spec.seed + 1, "_place").drop(*spec.row_key)
+    # every row beside the values of another row
+    both = materialise(taken.join(given, "_place"), "shuffled")
+    base = quality(both.select(*own)).withColumnRenamed("q", "_base")
+    drops = []
     for name in names:
-        given = hash_rank(df.select(*spec.row_key, name), spec.row_key, spec.seed + 1, "_to").select("_to", name)
-        shuffled = taken.drop(name).join(given, "_to").drop("_to")
-        drop = base.join(quality(shuffled), "class").select(
-            "class", F.lit(name).alias("feature"), (F.col("_base") - F.col("q")).alias("value")
+        shuffled = both.withColumn(name, F.col(f"_other_{name}")).select(*own)
+        drops.append(
+            base.join(quality(shuffled), "class").select(
+                "class", F.lit(name).alias("feature"), (F.col("_base") - F.col("q")).alias("value")
+            )
         )
-        out = drop if out is None else out.unionByName(drop)
-    return out
+    return reduce(DataFrame.unionByName, drops)
 
 
 def save_models(models: Sequence[FoldModel], path: str, mode: str = "exact") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from seriesloom.operators.clean import clean_target, drop_role_columns, sanitize
 from seriesloom.operators.models import FoldModel, TrainSpec, cv_train, score_holdout
 from seriesloom.operators.split import group_kfold, leave_one_group_out, subset_rows
 from seriesloom.roles import STANDARD
+from seriesloom.session import materialise
 from seriesloom.sources.tables import read_any
 
 
@@ -54,6 +56,11 @@ def train(
 
     Folds are drawn over distinct studies, or given by a study → group map.
     """
+    return _train(materialise(df, "training"), spec, n_folds, groups, subset, holdout)
+
+
+def _train(df, spec, n_folds, groups, subset, holdout) -> tuple[list[FoldModel], DataFrame]:
+    """``df`` is read several times, so it should be a stored table."""
     if subset is not None:
         df = subset_rows(df, spec.row_key, subset, spec.seed)
     if groups is None:
@@ -78,13 +85,15 @@ def learning_curve(
     holdout: DataFrame | None = None,
 ) -> DataFrame:
     """Predictions for every fraction of the rows, model and column exclusion, ready for ``metrics_long``."""
-    out = None
+    df = materialise(df, "training")
+    holdout = None if holdout is None else materialise(holdout, "holdout")
+    parts = []
     for fraction in fractions:
         for model in models:
             for exclusion in exclusions:
                 current = replace(spec, model=model, roles=STANDARD.restricted(exclude=exclusion))
                 subset = None if fraction == 1 else fraction
-                _, rows = train(df, current, n_folds, subset=subset, holdout=holdout)
+                _, rows = _train(df, current, n_folds, None, subset, holdout)
                 rows = rows.withColumns(
                     {
                         "model": F.lit(model),
@@ -93,5 +102,5 @@ def learning_curve(
                         "row_id": F.concat_ws("|", *spec.row_key),
                     }
                 ).drop(*spec.row_key)
-                out = rows if out is None else out.unionByName(rows)
-    return out
+                parts.append(rows)
+    return reduce(DataFrame.unionByName, parts)

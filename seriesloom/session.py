@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings for skewed keys and many small groups.
 RECOMMENDED = {
@@ -36,10 +36,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/seriesloom/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Checkpoint ``df`` in the shared folder, so that a lost executor does not replay its whole plan."""
-    spark = spark or df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_path(spark, "checkpoint"))
-    return df.checkpoint()
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back.
+
+    Cuts the lineage of a table that is read many times: a lost executor re-reads files instead of
+    replaying the plan, and later scans still read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
