@@ -123,7 +123,7 @@ def fit_linear_regression(spark, sf_dir):
 @query("search_params")
 def search_params(spark, sf_dir):
     spec = replace(SPEC, params=(("numTrees", 5),), inner_folds=3)
-    rows = features.fill_missing(models.prepare(materialise(_labelled(spark, sf_dir)), spec, CLASSES), ROLES)
+    rows = models.prepare(materialise(_labelled(spark, sf_dir)), spec, CLASSES)
     plan = features.fit_features(rows, ROLES)
     featured = PipelineModel(stages=plan.stages()).transform(rows)
     return models.search_params(featured, spec, draws=3)[0]

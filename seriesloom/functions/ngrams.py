@@ -16,19 +16,23 @@ def word_tokens(value: Column | str, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(as_column(value), F.lit(""))), F.lit(pattern), 0)
 
 
-def word_ngrams(tokens: Column | str, longest: int = 5) -> Column:
-    """Distinct n-grams of 1 to ``longest`` words, words joined by one space."""
+def word_ngrams(tokens: Column | str, longest: int = 5, prefix: str = "") -> Column:
+    """Distinct n-grams of 1 to ``longest`` words, words joined by one space, behind a fixed ``prefix``."""
 
     def grams(words: Column) -> Column:
         size = F.size(words)
 
-        def of_length(n: int) -> Column:
-            starts = F.when(size >= n, F.sequence(F.lit(1), size - F.lit(n - 1))).otherwise(
-                F.array().cast("array<int>")
-            )
-            return F.transform(starts, lambda at: F.array_join(F.slice(words, at, F.lit(n)), " "))
+        def starting_at(first: Column) -> Column:
+            lasts = F.sequence(first, F.least(first + F.lit(longest - 1), size))
 
-        return F.array_distinct(F.concat(words, *[of_length(n) for n in range(2, longest + 1)]))
+            def up_to(last: Column) -> Column:
+                gram = F.array_join(F.slice(words, first, last - first + F.lit(1)), " ")
+                return F.concat(F.lit(prefix), gram) if prefix else gram
+
+            return F.transform(lasts, up_to)
+
+        every = F.flatten(F.transform(F.sequence(F.lit(1), size), starting_at))
+        return F.when(size > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
     # the tokens are bound to a lambda variable, else they would be cut anew for every n-gram
     return F.get(F.transform(F.array(as_column(tokens)), grams), F.lit(0))

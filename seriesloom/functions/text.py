@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from seriesloom.functions import as_column
 from seriesloom.roles import MISSING
 
-# Unicode white space and the ASCII separator controls.
-_BLANK = r"(?U)[\s\x1c-\x1f]+"
+# The characters that separate tokens (Unicode white space and ASCII separators).
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_datetimes(value: Column | str) -> Column:
@@ -45,7 +48,12 @@ def join_backslashes(value: Column | str) -> Column:
 
 def split_blank(value: Column | str) -> Column:
     """Tokens between runs of white space, without empty ones."""
-    return F.filter(F.split(as_column(value), _BLANK), lambda token: token != "")
+    return F.filter(_split_each_blank(as_column(value)), lambda token: token != "")
+
+
+def _split_each_blank(value: Column) -> Column:
+    """Tokens between single blanks; runs of blanks leave empty tokens."""
+    return F.split(F.translate(value, _BLANKS, " " * len(_BLANKS)), " ")
 
 
 def has_tokens(
@@ -57,7 +65,7 @@ def has_tokens(
     runs of white space, or between single ``separator`` characters when one is given.
     """
     lowered = F.lower(as_column(value))
-    tokens = split_blank(lowered) if separator is None else F.split(lowered, _quote(separator))
+    tokens = _split_each_blank(lowered) if separator is None else F.split(lowered, _quote(separator))
     names: Sequence[str] = [wanted] if isinstance(wanted, str) else list(wanted)
     tests = [
         ~F.array_contains(tokens, name[1:]) if name.startswith("~") else F.array_contains(tokens, name)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Transformer
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSizeHint
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.ngrams import word_ngrams, word_tokens
 from seriesloom.functions.numbers import FEATURES, token_features
-from seriesloom.operators.clean import drop_nan_rows
 from seriesloom.roles import Roles
 
 LONGEST_NGRAM = 5
@@ -45,100 +45,102 @@ def text_counts(
     return counts.filter(F.col("n_rows") >= n_all.scalar())
 
 
-def gram_column(name: str) -> str:
-    return f"_grams_{name}"
+GRAMS, NUMBERS, MISSING_COUNT = "_grams", "_numbers", "_missing"
 
 
-def number_columns(name: str) -> list[str]:
-    return [f"{name}:{feature}" for feature in FEATURES]
+def number_names(roles: Roles) -> list[str]:
+    """Names of the entries of the number vector."""
+    return [f"{c}:{feature}" for c in roles.number_token for feature in FEATURES] + list(roles.numeric)
 
 
-def split_columns(df: DataFrame, roles: Roles, longest: int = LONGEST_NGRAM) -> DataFrame:
-    """Add n-gram arrays and number features; needs no fitting and no shuffle."""
+def term(column: str, gram: str) -> str:
+    return f"{column}:{gram}"
+
+
+def add_grams(df: DataFrame, roles: Roles, longest: int = LONGEST_NGRAM) -> DataFrame:
+    """``_grams``: the n-grams of all text columns, each behind its column's name."""
+    texts = [c for c in roles.text if c in df.columns]
+    grams = [word_ngrams(word_tokens(c), longest, term(c, "")) for c in texts]
+    return df.withColumn(GRAMS, F.concat(*grams) if grams else F.array().cast("array<string>"))
+
+
+def add_numbers(df: DataFrame, roles: Roles, missing: float = -1.0) -> DataFrame:
+    """``_numbers``: token features and numeric columns as one vector; ``_missing``: absent numeric ones.
+
+    What is absent enters the vector as ``missing``, the mark the token features use.
+    """
+    names = set(df.columns)
+    tokens = {c: token_features(F.col(c).cast("string")) for c in roles.number_token if c in names}
+    numeric = {f"_value_{c}": F.col(c).try_cast("double") for c in roles.numeric if c in names}
+    cells = {**{f"_token_{c}": value for c, value in tokens.items()}, **numeric}
+    out = df.withColumns(cells) if cells else df
+
+    def absent(column: str) -> Column:
+        return F.col(column).isNull() | F.isnan(column)
+
+    parts = [F.col(f"_token_{c}")[feature] for c in tokens for feature in FEATURES]
+    parts += [F.when(absent(c), F.lit(missing)).otherwise(F.col(c)) for c in numeric]
+    gaps = [F.when(absent(c), 1).otherwise(0) for c in numeric]
+    return out.withColumns(
+        {
+            NUMBERS: array_to_vector(F.array(*parts) if parts else F.array().cast("array<double>")),
+            MISSING_COUNT: sum(gaps[1:], gaps[0]) if gaps else F.lit(0),
+        }
+    ).drop(*cells)
+
+
+def split_columns(df: DataFrame, roles: Roles) -> DataFrame:
+    """Text and number features of every row; needs no fitting and no shuffle."""
     roles = roles.present(df.columns)
-    grams = {gram_column(c): word_ngrams(word_tokens(c), longest) for c in roles.text}
-    structs = {f"_numbers_{c}": token_features(F.col(c).cast("string")) for c in roles.number_token}
-    out = df.withColumns({**grams, **structs}) if grams or structs else df
-    flat: dict[str, Column] = {}
-    for c in roles.number_token:
-        for feature, column in zip(FEATURES, number_columns(c)):
-            flat[column] = F.col(f"_numbers_{c}")[feature]
-    if flat:
-        out = out.withColumns(flat).drop(*structs)
-    return out.withColumns({f"_value_{c}": F.col(c).try_cast("double") for c in roles.numeric}) if roles.numeric else out
+    return add_numbers(add_grams(df, roles), roles)
 
 
 @dataclass(frozen=True)
 class FeaturePlan:
-    """Fitted vectoriser: a vocabulary per text column and the order of all features."""
+    """Fitted vectoriser: the vocabulary over all text columns and the number columns."""
 
     roles: Roles
-    vocabulary: dict[str, list[str]] = field(default_factory=dict)
-
-    @property
-    def text(self) -> list[str]:
-        return [c for c in self.roles.text if self.vocabulary.get(c)]
+    vocabulary: list[str] = field(default_factory=list)
 
     @property
     def names(self) -> list[str]:
-        out = [f"{c}:{term}" for c in self.text for term in self.vocabulary[c]]
-        for c in self.roles.number_token:
-            out += number_columns(c)
-        return out + list(self.roles.numeric)
-
-    @property
-    def intermediate(self) -> list[str]:
-        return [f"_text_{c}" for c in self.text]
+        return [*self.vocabulary, *number_names(self.roles)]
 
     def stages(self, output: str = "features") -> list[Transformer]:
         """Pipeline stages over a table prepared by ``split_columns``."""
-        counters = [
-            CountVectorizerModel.from_vocabulary(
-                self.vocabulary[c], inputCol=gram_column(c), outputCol=f"_text_{c}", binary=True
-            )
-            for c in self.text
-        ]
-        inputs = self.intermediate[:]
-        for c in self.roles.number_token:
-            inputs += number_columns(c)
-        inputs += [f"_value_{c}" for c in self.roles.numeric]
-        return [*counters, VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="keep")]
+        size = VectorSizeHint(
+            inputCol=NUMBERS, size=len(number_names(self.roles)), handleInvalid="optimistic"
+        )
+        if not self.vocabulary:
+            return [size, VectorAssembler(inputCols=[NUMBERS], outputCol=output, handleInvalid="keep")]
+        counter = CountVectorizerModel.from_vocabulary(
+            self.vocabulary, inputCol=GRAMS, outputCol="_counts", binary=True
+        )
+        joined = VectorAssembler(inputCols=["_counts", NUMBERS], outputCol=output, handleInvalid="keep")
+        return [counter, size, joined]
 
 
 def fit_features(df: DataFrame, roles: Roles, min_share: float = MIN_SHARE) -> FeaturePlan:
-    """Learn the vocabularies. They come to the driver, as in any fitted vectoriser.
+    """Learn the vocabulary. It comes to the driver, as in any fitted vectoriser.
 
     A term is in at least ``min_share`` of the rows, so there are at most 1/min_share times the mean
     number of n-grams per row, however many rows there are.
     """
     roles = roles.present(df.columns)
-    vocabulary: dict[str, list[str]] = {c: [] for c in roles.text}
+    vocabulary = []
     if roles.text:
         for row in text_counts(df, roles.text, min_share).select("column", "term").collect():
-            vocabulary[row.column].append(row.term)
-    return FeaturePlan(roles, {c: sorted(terms) for c, terms in vocabulary.items()})
-
-
-def without_nan_rows(df: DataFrame, roles: Roles) -> DataFrame:
-    """Rows with at most one missing numeric feature (token features are never missing)."""
-    columns = [f"_value_{c}" for c in roles.numeric if f"_value_{c}" in df.columns]
-    return drop_nan_rows(df, columns) if len(columns) > 1 else df
+            vocabulary.append((roles.text.index(row.column), row.term))
+    return FeaturePlan(roles, [term(roles.text[i], gram) for i, gram in sorted(vocabulary)])
 
 
-def fill_missing(df: DataFrame, roles: Roles, value: float = -1.0) -> DataFrame:
-    """Missing numeric features as ``value``, the mark the token features use."""
-    columns = [f"_value_{c}" for c in roles.numeric if f"_value_{c}" in df.columns]
-    return df.fillna(value, columns) if columns else df
+def without_nan_rows(df: DataFrame, allowed: int = 1) -> DataFrame:
+    """Prepared rows with at most ``allowed`` missing numeric features; token features never are."""
+    return df.filter(F.col(MISSING_COUNT) <= allowed)
 
 
 def assemble_features(df: DataFrame, roles: Roles, min_share: float = MIN_SHARE) -> tuple[DataFrame, FeaturePlan]:
     """Table with a ``features`` vector, and the plan that names its entries."""
     plan = fit_features(df, roles, min_share)
-    out = fill_missing(split_columns(df, plan.roles), plan.roles)
-    for stage in plan.stages():
-        out = stage.transform(out)
-    hidden = [*plan.intermediate, *[gram_column(c) for c in plan.roles.text]]
-    for c in plan.roles.number_token:
-        hidden += number_columns(c)
-    hidden += [f"_value_{c}" for c in plan.roles.numeric]
-    return out.drop(*hidden), plan
+    out = PipelineModel(stages=plan.stages()).transform(split_columns(df, plan.roles))
+    return out.drop(GRAMS, NUMBERS, MISSING_COUNT, "_counts"), plan

@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
+from itertools import groupby
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from seriesloom.operators.clean import class_order
 from seriesloom.operators.features import (
     FeaturePlan,
-    fill_missing,
+    add_grams,
+    add_numbers,
     fit_features,
     split_columns,
     without_nan_rows,
@@ -107,10 +109,6 @@ class FoldModel:
     labels: tuple[str, ...]
     fold: str
 
-    @property
-    def hidden(self) -> list[str]:
-        return [*self.plan.intermediate, "features", "selected", "rawPrediction", "probability"]
-
 
 def make_estimator(task: str, model: str, params: Mapping[str, object], seed: int) -> tuple[Estimator, Estimator]:
     """(estimator, the part that owns the tunable parameters)."""
@@ -148,8 +146,7 @@ def class_labels(df: DataFrame, target: str) -> tuple[str, ...]:
 def prepare(df: DataFrame, spec: TrainSpec, labels: Sequence[str]) -> DataFrame:
     """Split feature columns and numeric label; shared by all folds."""
     label = label_index(spec.target, labels) if spec.task == "classification" else F.col(spec.target).cast("double")
-    roles = spec.roles.present(df.columns)
-    return split_columns(df.withColumn("label", label), roles)
+    return split_columns(df.withColumn("label", label), spec.roles)
 
 
 def search_params(
@@ -188,9 +185,8 @@ def search_params(
 
 def fit_model(train: DataFrame, spec: TrainSpec, labels: Sequence[str], fold: str = "0") -> FoldModel:
     """Fit vectoriser, variance filter and model on prepared rows."""
-    roles = spec.roles.present(train.columns)
-    rows = fill_missing(without_nan_rows(train.filter(F.col("label").isNotNull()), roles), roles)
-    plan = fit_features(rows, roles, spec.min_share)
+    rows = without_nan_rows(train.filter(F.col("label").isNotNull()))
+    plan = fit_features(rows, spec.roles, spec.min_share)
     front = plan.stages()
     featured = PipelineModel(stages=front).transform(rows)
     if spec.search_draws:
@@ -210,7 +206,7 @@ def selected_names(model: FoldModel) -> list[str]:
 
 def _scored(model: FoldModel, prepared: DataFrame) -> DataFrame:
     """Prepared rows with ``prediction`` and, for classes, ``scores``."""
-    out = model.pipeline.transform(fill_missing(prepared, model.plan.roles))
+    out = model.pipeline.transform(prepared)
     if model.task == "classification":
         vector = "probability" if "probability" in out.columns else "rawPrediction"
         out = out.withColumn("scores", vector_to_array(vector))
@@ -243,7 +239,7 @@ def cv_train(
     for value in folds:
         inside = F.col(fold) == F.lit(value)
         model = fit_model(prepared.filter(~inside), spec, labels, str(value))
-        held_out = without_nan_rows(prepared.filter(inside), model.plan.roles)
+        held_out = without_nan_rows(prepared.filter(inside))
         models.append(model)
         parts.append(predict_rows(model, held_out, spec.row_key, spec.target))
     predictions = materialise(reduce(DataFrame.unionByName, parts), "predictions")
@@ -253,34 +249,29 @@ def cv_train(
 
 def score_holdout(models: Sequence[FoldModel], df: DataFrame, spec: TrainSpec) -> DataFrame:
     """Predictions of every fold model on a held-out table."""
-    prepared = without_nan_rows(prepare(df, spec, models[0].labels), spec.roles.present(df.columns))
+    prepared = without_nan_rows(prepare(df, spec, models[0].labels))
     parts = [predict_rows(m, prepared, spec.row_key, spec.target) for m in models]
     return materialise(reduce(DataFrame.unionByName, parts), "predictions")
 
 
 def ensemble_votes(models: Sequence[FoldModel], df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Table with one vote column per fold model. All models run in one pass without a shuffle."""
-    out = split_columns(df, _union_roles(models))
-    prepared = set(out.columns) - set(df.columns)
-    votes = []
-    for i, model in enumerate(models):
-        scored = model.pipeline.transform(fill_missing(out, model.plan.roles))
-        vote = F.col("prediction")
-        if model.task == "classification":
-            vote = F.upper(F.get(F.array(*[F.lit(v) for v in model.labels]), vote.cast("int")))
-        out = scored.withColumn(f"_vote{i}", vote).drop(*model.hidden, "prediction")
-        votes.append(f"_vote{i}")
-    return out.drop(*prepared), votes
-
-
-def _union_roles(models: Sequence[FoldModel]) -> Roles:
-    """Every feature column any of the models reads."""
-    every = [m.plan.roles for m in models]
-    return Roles(
-        text=tuple(dict.fromkeys(c for r in every for c in r.text)),
-        number_token=tuple(dict.fromkeys(c for r in every for c in r.number_token)),
-        numeric=tuple(dict.fromkeys(c for r in every for c in r.numeric)),
-    )
+    texts = dict.fromkeys(c for m in models for c in m.plan.roles.text)
+    out = add_grams(df, Roles(text=tuple(texts)))
+    votes: list[str] = []
+    for _, alike in groupby(models, key=lambda m: (m.plan.roles.number_token, m.plan.roles.numeric)):
+        fold_models = list(alike)
+        out = add_numbers(out, fold_models[0].plan.roles)
+        for model in fold_models:
+            vote = F.col("prediction")
+            if model.task == "classification":
+                vote = F.upper(F.get(F.array(*[F.lit(v) for v in model.labels]), vote.cast("int")))
+            name = f"_vote{len(votes)}"
+            scored = model.pipeline.transform(out).withColumn(name, vote)
+            out = scored.select(*out.columns, name)
+            votes.append(name)
+        out = out.drop("_numbers", "_missing")
+    return out.drop("_grams"), votes
 
 
 def score_ensemble(

@@ -27,16 +27,12 @@ def average_predictions(
 
 def mode_of(votes: Sequence[Column]) -> Column:
     """Most frequent of a few columns of one row; a tie goes to the smallest. Needs no shuffle."""
-    every = F.array(*votes)
-    # sorted choices, so that the first of the most frequent is the smallest
-    tally = F.transform(
-        F.array_sort(F.array_distinct(every)),
-        lambda choice: F.struct(
-            F.size(F.filter(every, lambda vote: vote == choice)).alias("n"), choice.alias("vote")
-        ),
-    )
-    top = F.array_max(F.transform(tally, lambda entry: entry["n"]))
-    return F.get(F.filter(tally, lambda entry: entry["n"] == top), F.lit(0))["vote"]
+
+    def ballot(choice: Column) -> Column:
+        agreeing = [F.when(choice == vote, 1).otherwise(0) for vote in votes]
+        return F.struct((-sum(agreeing[1:], agreeing[0])).alias("n"), choice.alias("vote"))
+
+    return F.least(*[ballot(v) for v in votes])["vote"] if len(votes) > 1 else votes[0]
 
 
 def mean_of(votes: Sequence[Column]) -> Column:
