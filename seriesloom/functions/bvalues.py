@@ -44,4 +44,5 @@ def max_token_number(value: Column | str) -> Column:
             token.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"), token.try_cast("double")
         ).otherwise(F.lit(0.0)),
     )
-    return F.coalesce(F.least(F.array_max(numbers), F.lit(2147483647.0)).cast("int"), F.lit(0))
+    largest = F.coalesce(F.array_max(numbers), F.lit(0.0))
+    return F.least(largest, F.lit(2147483647.0)).cast("int")
