@@ -55,7 +55,11 @@ def with_final_bvalue(df: DataFrame) -> DataFrame:
     return df.withColumn("diffusion_bvalue_final", first_given(columns))
 
 
+def name_study(instances: DataFrame) -> DataFrame:
+    """Patient id from the study, and value processors applied."""
+    return process_values(instances.withColumn("patient_id", F.col("study_uid")))
+
+
 def assemble_study(instances: DataFrame) -> DataFrame:
     """Flattened instances of whole studies: patient id from the study, series sizes, clean description."""
-    named = process_values(instances.withColumn("patient_id", F.col("study_uid")))
-    return count_instances(named, ("study_uid", "series_uid"), "number_of_images")
+    return count_instances(name_study(instances), ("study_uid", "series_uid"), "number_of_images")
