@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,23 +18,34 @@ def word_tokens(value: Column | str, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(as_column(value), F.lit(""))), F.lit(pattern), 0)
 
 
-def word_ngrams(tokens: Column | str, longest: int = 5, prefix: str = "") -> Column:
-    """Distinct n-grams of 1 to ``longest`` words, words joined by one space, behind a fixed ``prefix``."""
-
-    def grams(words: Column) -> Column:
-        size = F.size(words)
-
-        def starting_at(first: Column) -> Column:
-            lasts = F.sequence(first, F.least(first + F.lit(longest - 1), size))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once; an expression used inside a lambda would run per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-            def up_to(last: Column) -> Column:
-                gram = F.array_join(F.slice(words, first, last - first + F.lit(1)), " ")
-                return F.concat(F.lit(prefix), gram) if prefix else gram
 
-            return F.transform(lasts, up_to)
-
-        every = F.flatten(F.transform(F.sequence(F.lit(1), size), starting_at))
-        return F.when(size > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
-
-    # the tokens are bound to a lambda variable, else they would be cut anew for every n-gram
-    return F.get(F.transform(F.array(as_column(tokens)), grams), F.lit(0))
+def word_ngrams(tokens: Column | str, longest: int = 5, prefix: str = "") -> Column:
+    """Distinct n-grams of 1 to ``longest`` words, words joined by one space, behind a fixed ``prefix``.
+
+    Every n-gram is the (n-1)-gram at its place with one more word.
+    """
+
+    def all_grams(words: Column) -> Column:
+        def extend(found: list[Column]) -> Column:
+            n = len(found) + 1
+            done = F.array_distinct(F.concat(*found))
+            if n > longest:
+                return done
+            count = F.size(words) - F.lit(n - 1)
+            grams = F.zip_with(
+                F.slice(found[-1], F.lit(1), count),
+                F.slice(words, F.lit(n), count),
+                lambda gram, word: F.concat(gram, F.lit(" "), word),
+            )
+            # header cells are short: stop where no longer n-gram exists
+            return F.when(count <= 0, done).otherwise(_let(grams, lambda longer: extend([*found, longer])))
+
+        if not prefix:
+            return extend([words])
+        return _let(F.transform(words, lambda word: F.concat(F.lit(prefix), word)), lambda w: extend([w]))
+
+    return _let(as_column(tokens), all_grams)

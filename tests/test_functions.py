@@ -86,9 +86,8 @@ def test_ngrams_skip_one_letter_words_and_match_brute_force(spark):
     for grams, tokens in zip(found, words):
         assert len(grams) == len(set(grams))
         assert set(grams) == brute_ngrams(tokens, 5)
-    assert cells(spark, ["ab cd"], lambda c: ngrams.word_ngrams(ngrams.word_tokens(c), 2, "k:")) == [
-        ["k:ab", "k:ab cd", "k:cd"]
-    ]
+    prefixed = cells(spark, ["ab cd"], lambda c: ngrams.word_ngrams(ngrams.word_tokens(c), 2, "k:"))
+    assert sorted(prefixed[0]) == ["k:ab", "k:ab cd", "k:cd"]
 
 
 def test_label_of(spark):

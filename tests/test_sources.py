@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from seriesloom.plans.extract import extract_features
 from seriesloom.session import scratch_path
 from seriesloom.sources import inventory, nested_json, tables, tags
 
@@ -91,3 +92,12 @@ def test_scratch_follows_the_session(spark):
     assert path != scratch_path(spark, "x")
     if base:
         assert path.startswith(base.rstrip("/"))
+
+
+def test_extraction_takes_ge_bvalue_and_drops_segmentations(spark):
+    body = {"00431039": {"Value": [1000000050, 8, 0]}, "0008103E": {"Value": ["t2 1/2/2020"]}}
+    image = json.dumps({**body, "00080016": {"Value": ["1.2.3"]}})
+    seg = json.dumps({**body, "00080016": {"Value": ["1.2.840.10008.5.1.4.1.1.66.4"]}})
+    df = spark.createDataFrame([(1, image), (2, seg), (3, json.dumps(body))], "i int, tags string")
+    rows = extract_features(df, keep=("i",)).collect()
+    assert [(r.i, r.diffusion_bvalue_final, r.series_description) for r in rows] == [(1, "50", "t2 ")]
