@@ -73,6 +73,8 @@ def to_documents(
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     chunks = F.ceil(F.col("_n") / instances_per_document)
     placed = df.join(sizes, list(keys)).withColumn("_chunk", F.pmod(F.xxhash64(order), chunks))
+    # by document, not by series as the join left them: a hot series must not end in one task
+    placed = placed.repartition(*keys, "_chunk")
     cells = F.struct(F.col(order).alias("_order"), *[F.col(f).cast("string").alias(f) for f in features])
     grouped = placed.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(cells)).alias("_rows"))
     patient, study, series = keys
