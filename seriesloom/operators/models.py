@@ -33,8 +33,7 @@ from seriesloom.operators.features import (
     split_columns,
     without_nan_rows,
 )
-from seriesloom.operators.rules import _REGISTRY as RULES
-from seriesloom.operators.rules import override
+from seriesloom.operators.rules import find_rule, override
 from seriesloom.operators.split import group_kfold, hash_rank, stratified_kfold
 from seriesloom.operators.votes import mean_of, mode_of
 from seriesloom.roles import STANDARD, Roles
@@ -289,7 +288,7 @@ def score_ensemble(
     out = voted.withColumn("prediction", prediction)
     final = F.col("prediction")
     if is_class and rule is not None:
-        final = override(final, RULES[rule](out), last_wins)
+        final = override(final, find_rule(rule)(out), last_wins)
     patient = F.col("patient_id") if "patient_id" in df.columns else F.col("study_uid")
     return out.select(
         patient.alias("patient_id"), "study_uid", "series_uid", "prediction", final.alias("prediction_heuristics")

@@ -29,6 +29,12 @@ def rule_names() -> list[str]:
     return sorted(_REGISTRY)
 
 
+def find_rule(name: str) -> Rule:
+    if name not in _REGISTRY:
+        raise ValueError(f"unknown rule {name!r}, known are {rule_names()}")
+    return _REGISTRY[name]
+
+
 def resolved_bvalue(df: DataFrame) -> Column:
     """b-value cell: the base column, else GE's, else Siemens'."""
     proxies = [c for c in ("diffusion_bvalue_ge", "diffusion_bvalue_siemens") if c in df.columns]
@@ -52,7 +58,7 @@ def apply_rule(
     df: DataFrame, name: str = "prostate_mpmri", keys: Sequence[str] = ("study_uid", "series_uid")
 ) -> DataFrame:
     """Keys plus one boolean column per class of the named rule."""
-    columns = _REGISTRY[name](df)
+    columns = find_rule(name)(df)
     return df.select(*keys, *[value.alias(label) for label, value in columns.items()])
 
 
