@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,8 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_tracked: ContextVar[list[str] | None] = ContextVar("scratch_paths", default=None)
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the recommended runtime settings to a session."""
@@ -25,15 +30,44 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the checkpoint folder all executors share.
+def scratch_base(spark: SparkSession) -> str:
+    """The folder that all executors share.
 
-    Without ``spark.checkpoint.dir`` (tests on one machine) a temporary folder is used.
+    ``spark.checkpoint.dir``, else the folder given to ``SparkContext.setCheckpointDir``, else, on a
+    local master only, a temporary folder of this machine. A cluster without either is refused, as its
+    executors would write to their own disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="seriesloom-")
-    return f"{base.rstrip('/')}/seriesloom/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="seriesloom-")
+    raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    path = f"{scratch_base(spark)}/seriesloom/{name}-{uuid.uuid4().hex}"
+    if (tracked := _tracked.get()) is not None:
+        tracked.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, every scratch table made inside; results must be written or collected by then."""
+    token = _tracked.set([])
+    try:
+        yield
+    finally:
+        paths = _tracked.get()
+        _tracked.reset(token)
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
