@@ -1,6 +1,6 @@
 """Near-duplicate groups from SetSketch registers.
 
-A document's set is its distinct 5-word shingles. Its sketch has ``BANDS * ROWS`` registers; register i
+A document's set is its distinct 5-word shingles. Its sketch has 16 * LANES registers; register i
 holds ``floor(1 - log_B(x))`` cut to 0..Q+1, where x is the least of the exponential variables that hash
 function i gives the set's elements. Registers of a union are the element-wise maxima, so sketches of
 parts can be merged (``merge_registers``), and two registers agree with about the probability of the
@@ -12,8 +12,10 @@ sets' similarity, so they can be banded.
    misses all 40 bands of 5 with probability 7e-11, at 0.8 with 1e-7.
 3. In each bucket, pivots are compared with the members outside their component; buckets whose members
    are all in one component are done, used pivots leave their bucket, and the number of pivots grows
-   fourfold per round until no bucket is open. So a bucket of n near copies costs about n comparisons,
-   not n * n, and no pair of different components goes untested.
+   GROWTH-fold per round until no bucket is open. The first pivot is the member with most neighbours, in
+   a group of near copies mostly their original. So n near copies cost about n comparisons, not n * n,
+   and no pair of different components goes untested: members that link with none of many similar ones
+   meet all of them, but only as sketches, inside the join (low register bits, five standard errors).
 4. A comparison is a maximum-likelihood estimate of the similarity from both register arrays and the
    known set sizes; pairs that come within six standard errors of the threshold are decided on the full
    shingle sets of both texts.
@@ -35,17 +37,19 @@ from seriesloom.llm.words import mix, shingle_sets
 from seriesloom.session import materialise
 
 BANDS, ROWS = 40, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = BANDS * ROWS  # kept in full, for bands and estimates
+LANES = 32  # long values with the low four bits of 16 registers each; the first REGISTERS of these are the above
 B, A, Q = 1.001, 20.0, 2**16 - 2  # base, rate and range of the registers
-_ODD = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 256  # elements handled at once: 256 x 200 values of 8 bytes stay in cache
+_ODD = np.random.default_rng(7).integers(1, 2**63, 16 * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLOCK = 128  # elements handled at once: 128 x 512 values of 8 bytes stay in cache
+GROWTH = 16
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set of 64-bit hashes; all 0 for an empty set."""
     if not len(elements):
-        return np.zeros(REGISTERS, np.uint16)
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
+        return np.zeros(16 * LANES, np.uint16)
+    least = np.full(16 * LANES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(elements), _BLOCK):
         np.minimum(least, (elements[i : i + _BLOCK, None] * _ODD).min(axis=0), out=least)
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / A
@@ -86,17 +90,41 @@ def joint_similarity(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_
     return (low + high) / 2
 
 
-_SKETCH = "doc_id long, n long, f1 long, f2 long, row_key long, registers binary"
+def lanes(values: np.ndarray) -> np.ndarray:
+    """The low four bits of all registers, sixteen to a long."""
+    low = (values.astype(np.uint64) & np.uint64(15)).reshape(LANES, 16)
+    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def lanes_differ(left: str, right: str) -> Column:
+    """How many registers differ in their low four bits, from columns ``left0`` ... and ``right0`` ..."""
+    total = F.lit(0)
+    for i in range(LANES):
+        x = F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
+def _lane_columns(name: str) -> list[Column]:
+    # plain columns that can't be null keep the generated code of the join's condition small enough to be compiled
+    return [F.coalesce(F.get("lanes", F.lit(i)), F.lit(0).cast("long")).alias(f"{name}{i}") for i in range(LANES)]
+
+
+_SKETCH = "doc_id long, n long, f1 long, f2 long, row_key long, registers binary, lanes array<long>"
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, f1, f2, kept = [], [], [], []
+        n, f1, f2, kept, low = [], [], [], [], []
         for s in shingle_sets(batch.column(2)):
             n.append(len(s))
             f1.append(int(s.sum(dtype=np.uint64)))
             f2.append(int(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)))
-            kept.append(registers(s).tobytes() if len(s) else None)
+            values = registers(s) if len(s) else None
+            kept.append(None if values is None else values[:REGISTERS].tobytes())
+            low.append(None if values is None else lanes(values))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).cast(pa.int64()),
@@ -105,8 +133,9 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 pa.array(np.array(f2, np.uint64).view(np.int64)),
                 batch.column(1),
                 pa.array(kept, pa.binary()),
+                pa.array(low, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n", "f1", "f2", "row_key", "registers"],
+            names=["doc_id", "n", "f1", "f2", "row_key", "registers", "lanes"],
         )
 
 
@@ -161,13 +190,22 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int)
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _most_differ(percent: int) -> int:
+    """Registers that may differ in their low bits at the similarity, with five standard errors on top."""
+    share = (1 - percent / 100) * 15 / 16
+    n = 16 * LANES
+    return int(n * share + 5 * (n * share * (1 - share)) ** 0.5)
+
+
 def _labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """class_id, label of all classes that are linked with another one."""
     spark = classes.sparkSession
     bands = [F.xxhash64(F.lit(i), F.expr(f"substring(registers, {2 * ROWS * i + 1}, {2 * ROWS})")) for i in range(BANDS)]
     members = classes.select("class_id", "n", F.explode(F.array(*bands)).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(members.join(shared, "bucket"), "members")
+    near = members.groupBy("class_id").agg(F.sum("size").alias("near"))
+    members = materialise(members.drop("size").join(near, "class_id"), "members")
     wanted = members.select("class_id").distinct().join(classes.select("class_id", "row_key"), "class_id")
     # rows of one key hold the same text, so any of them serves; repeated rows are combined map-side
     texts = materialise(
@@ -184,32 +222,35 @@ def _labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             state = members.join(labels.toDF("class_id", "label"), "class_id", "left").withColumn(
                 "comp", F.coalesce("label", "class_id")
             )
-        state = state.select("bucket", "class_id", "n", "comp")
-        by_comp = state.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+        state = state.select("bucket", "class_id", "n", "near", "comp")
+        by_comp = state.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.max("near").alias("near"))
         main = by_comp.groupBy("bucket").agg(
-            F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps")
+            F.max(F.struct("size", -F.col("near"), "comp"))["comp"].alias("main"), F.count("*").alias("comps")
         )
         still = materialise(state.join(main.where("comps > 1").select("bucket", "main"), "bucket"), "open")
         if still.isEmpty():
             return labels if labels is not None else spark.createDataFrame([], "node long, label long")
-        slot = F.pmod(F.xxhash64(F.lit(turn), "class_id"), F.lit(4**turn))
+        slot = F.pmod(F.xxhash64(F.lit(turn), "class_id"), F.lit(GROWTH**turn))
         pivots = materialise(
             still.where("comp <> main")
             .groupBy("bucket", slot.alias("slot"))
-            .agg(F.min(F.struct("class_id", "n", "comp")).alias("p"))
+            .agg(F.max(F.struct("near", "class_id", "n", "comp")).alias("p"))
             .select("bucket", F.col("p.class_id").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")),
             "pivots",
         )
-        pairs = (
-            still.join(pivots, "bucket")
-            .where(f"comp <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
-            .select(F.least("class_id", "p").alias("a"), F.greatest("class_id", "p").alias("b"))
-            .distinct()
-        )
+        apart = F.expr(f"comp <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
+        if turn == 0:
+            met = still.join(pivots, "bucket").where(apart)
+        else:
+            own = still.join(classes.select("class_id", *_lane_columns("own")), "class_id")
+            their = pivots.join(classes.select(F.col("class_id").alias("p"), *_lane_columns("their")), "p")
+            alike = lanes_differ("own", "their") <= _most_differ(percent)
+            met = own.join(their.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & apart & alike)
+        pairs = met.select(F.least("class_id", "p").alias("a"), F.greatest("class_id", "p").alias("b")).distinct()
         links = links.union(materialise(_links(pairs, classes, texts, percent), "links"))
         labels = connected_components(links)
         used = pivots.select("bucket", F.col("p").alias("class_id"))
-        members = still.join(used, ["bucket", "class_id"], "left_anti").select("bucket", "class_id", "n")
+        members = still.join(used, ["bucket", "class_id"], "left_anti").select("bucket", "class_id", "n", "near")
         turn += 1
 
 
@@ -233,6 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             F.min("doc_id").alias("first_id"),
             F.min("row_key").alias("row_key"),
             F.any_value("registers").alias("registers"),
+            F.any_value("lanes").alias("lanes"),
         )
         .withColumn("class_id", F.monotonically_increasing_id()),
         "classes",
@@ -243,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     groups = materialise(labelled.join(least, "label").select("f1", "f2", "n", "component_id"), "groups")
-    placed = sketches.drop("registers").join(groups, ["f1", "f2", "n"], "left")
+    placed = sketches.drop("registers", "lanes").join(groups, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return placed.select(
         "doc_id",
