@@ -9,7 +9,7 @@ bipartite graph over the whole corpus, which Spark scores in rounds:
     confidence of an instance          = 1 - product over its good patterns of (1 - confidence)
 
 Seeds have confidence 1 for their kind and 0 for others. Patterns count only with MIN_SEEDS distinct
-seeds and a confidence of GOOD_PATTERN or more; candidates that reach ACCEPT add spans and, in the next
+seeds and a confidence of GOOD_PATTERN or more; candidates with MIN_PATTERNS of them that reach ACCEPT add spans and, in the next
 round, support to patterns. Distinct instances per pattern are counted before the shuffle, so a frequent
 word before many numbers is one hot key with small partial sums.
 """
@@ -30,6 +30,7 @@ ROUNDS = 3
 MIN_SEEDS = 5  # distinct seeds a pattern needs
 GOOD_PATTERN = 0.8
 ACCEPT = 0.85
+MIN_PATTERNS = 2  # good patterns an instance needs: one word beside it is no evidence
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -199,7 +200,9 @@ def discover(events: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .where(f"p >= {GOOD_PATTERN}")
         )
         proposals = edges.where("seed < 0").join(good, "pattern")
-        scored = proposals.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("confidence"))
+        scored = proposals.groupBy("instance", "kind").agg(
+            (1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("confidence"), F.count("*").alias("patterns")
+        ).where(f"patterns >= {MIN_PATTERNS}")
         best = scored.groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("b"))
         accepted = materialise(
             best.select("instance", F.col("b.kind").alias("kind"), F.col("b.confidence").alias("confidence")).where(f"confidence >= {ACCEPT}"),
