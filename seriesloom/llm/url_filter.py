@@ -1,6 +1,6 @@
 """URL filter: host and path rules, then a logistic regression on hashed character n-grams.
 
-``fit_url_model`` trains on a small table of labelled URLs (url, bad 0/1); ``SEED_URLS`` is the one used
+``fit_url_model`` trains on a small table of labelled URLs (url, bad 0/1); ``seed_urls`` gives the one used
 where none is given. ``judge`` applies rules and model to a column of URLs without any shuffle.
 """
 
