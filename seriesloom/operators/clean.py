@@ -168,13 +168,13 @@ def filter_max_bvalue(
         applies = ~F.col("_bad")
         if vendor is not None:
             applies = applies & F.coalesce(F.lower(F.col("_maker")).contains(vendor), F.lit(False))
-        joined = _null_safe_join(combos, per_series, keys)
+        joined = null_safe_join(combos, per_series, keys)
         combos = joined.filter(~applies | (number == F.col("_top"))).select(*parts, "_first")
 
-    return _null_safe_join(df, combos.select(*parts), parts, "left_semi")
+    return null_safe_join(df, combos.select(*parts), parts, "left_semi")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; the right side's keys are dropped."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
@@ -183,7 +183,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def feature_variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long table (feature, variance, kept) over all rows; NULL and NaN are left out."""
-    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    known = {c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")) for c in columns}
     wide = df.agg(*[F.var_pop(value).alias(name) for name, value in known.items()])
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("variance")) for c in columns])

@@ -129,7 +129,7 @@ def _report(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def r2_score(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by…, r2) in one pass: squared errors against n times the target's variance."""
-    y, p = F.col("y_true").cast("double"), F.col("y_pred").cast("double")
+    y, p = F.col("y_true").try_cast("double"), F.col("y_pred").try_cast("double")
     sums = predictions.groupBy(*by).agg(
         F.sum((y - p) * (y - p)).alias("error"), (F.var_pop(y) * F.count(y)).alias("spread")
     )

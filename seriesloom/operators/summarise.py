@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.clean import null_safe_join
 from seriesloom.roles import MISSING, SERIES_KEYS, STANDARD, STUDY_KEYS, Roles
 
 _COUNTS = ("number_of_images", "number_of_frames")
@@ -30,7 +31,8 @@ def distinct_text(name: str, separator: str = " ", clean: bool = True) -> Column
 
 
 def median_of_int(name: str) -> Column:
-    return F.percentile(F.col(name).try_cast("int"), F.lit(0.5))
+    # counts read from text may look like floats (``24.0``); unreadable cells are no count
+    return F.percentile(F.col(name).try_cast("double").try_cast("int"), F.lit(0.5))
 
 
 def summarise(
@@ -51,7 +53,7 @@ def summarise(
         if name in present or name in _COUNTS:
             continue
         if name in roles.image:
-            measures.append(F.avg(F.col(name).cast("double")).alias(name))
+            measures.append(F.avg(F.col(name).try_cast("double")).alias(name))
         else:
             measures.append(distinct_text(name).alias(name))
     source = next((c for c in _COUNTS if c in df.columns), None)
@@ -77,9 +79,10 @@ def count_instances(
     """Stamp every row with the number of rows in its series.
 
     Counted by aggregation and joined back: unlike a window, no task ever has to hold one whole series.
+    Rows with NULL keys form series of their own.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.drop(name).join(sizes, list(keys))
+    return null_safe_join(df.drop(name), sizes, keys)
 
 
 def distinct_ids(df: DataFrame, column: str = "study_uid") -> DataFrame:

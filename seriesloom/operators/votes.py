@@ -22,7 +22,7 @@ def average_predictions(
     votes: DataFrame, keys: Sequence[str], vote: str = "y_pred", name: str = "prediction"
 ) -> DataFrame:
     """Mean prediction per row."""
-    return votes.groupBy(*keys).agg(F.avg(F.col(vote).cast("double")).alias(name))
+    return votes.groupBy(*keys).agg(F.avg(F.col(vote).try_cast("double")).alias(name))
 
 
 def mode_of(votes: Sequence[Column]) -> Column:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.operators.clean import null_safe_join
+from seriesloom.roles import MISSING
+
 KEYS = ("patient_id", "study_uid", "series_uid")
 _DOCUMENT = "map<string,map<string,map<string,map<string,string>>>>"
 
@@ -68,16 +71,17 @@ def to_documents(
 
     A series of many instances is spread over several documents of about
     ``instances_per_document`` rows each, so that none has to fit one task; reading them all gives
-    every row back. NULL is written as JSON null.
+    every row back. NULL is written as JSON null, a NULL key as the missing mark.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     chunks = F.ceil(F.col("_n") / instances_per_document)
-    placed = df.join(sizes, list(keys)).withColumn("_chunk", F.pmod(F.xxhash64(order), chunks))
+    placed = null_safe_join(df, sizes, keys).withColumn("_chunk", F.pmod(F.xxhash64(order), chunks))
     # by document, not by series as the join left them: a hot series must not end in one task
     placed = placed.repartition(*keys, "_chunk")
     cells = F.struct(F.col(order).alias("_order"), *[F.col(f).cast("string").alias(f) for f in features])
     grouped = placed.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(cells)).alias("_rows"))
-    patient, study, series = keys
+    # JSON has no null key
+    patient, study, series = (F.coalesce(F.col(k).cast("string"), F.lit(MISSING)) for k in keys)
     content = F.map_from_arrays(
         F.array(*[F.lit(f) for f in features]),
         F.array(*[F.col("_rows")[f] for f in features]),
