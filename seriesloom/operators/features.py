@@ -67,11 +67,17 @@ def add_grams(df: DataFrame, roles: Roles, longest: int = LONGEST_NGRAM) -> Data
 def add_numbers(df: DataFrame, roles: Roles, missing: float = -1.0) -> DataFrame:
     """``_numbers``: token features and numeric columns as one vector; ``_missing``: absent numeric ones.
 
-    What is absent enters the vector as ``missing``, the mark the token features use.
+    The vector has the entries of ``number_names(roles)``, whatever columns the table has. What is absent
+    enters it as ``missing``, the mark the token features use; a column the table lacks is absent in
+    every row, and only gaps in columns it has are counted.
     """
     names = set(df.columns)
-    tokens = {c: token_features(F.col(c).cast("string")) for c in roles.number_token if c in names}
-    numeric = {f"_value_{c}": F.col(c).try_cast("double") for c in roles.numeric if c in names}
+
+    def cell(column: str) -> Column:
+        return F.col(column) if column in names else F.lit(None)
+
+    tokens = {c: token_features(cell(c).cast("string")) for c in roles.number_token}
+    numeric = {f"_value_{c}": cell(c).try_cast("double") for c in roles.numeric}
     cells = {**{f"_token_{c}": value for c, value in tokens.items()}, **numeric}
     out = df.withColumns(cells) if cells else df
 
@@ -80,7 +86,7 @@ def add_numbers(df: DataFrame, roles: Roles, missing: float = -1.0) -> DataFrame
 
     parts = [F.col(f"_token_{c}")[feature] for c in tokens for feature in FEATURES]
     parts += [F.when(absent(c), F.lit(missing)).otherwise(F.col(c)) for c in numeric]
-    gaps = [F.when(absent(c), 1).otherwise(0) for c in numeric]
+    gaps = [F.when(absent(f"_value_{c}"), 1).otherwise(0) for c in roles.numeric if c in names]
     return out.withColumns(
         {
             NUMBERS: array_to_vector(F.array(*parts) if parts else F.array().cast("array<double>")),
@@ -89,9 +95,13 @@ def add_numbers(df: DataFrame, roles: Roles, missing: float = -1.0) -> DataFrame
     ).drop(*cells)
 
 
-def split_columns(df: DataFrame, roles: Roles) -> DataFrame:
-    """Text and number features of every row; needs no fitting and no shuffle."""
-    roles = roles.present(df.columns)
+def split_columns(df: DataFrame, roles: Roles, fitted: bool = False) -> DataFrame:
+    """Text and number features of every row; needs no fitting and no shuffle.
+
+    For a table to learn from, ``roles`` shrink to the columns it has. For one to score give the fitted
+    plan's roles and ``fitted=True``: the features are then the plan's, whatever the table has.
+    """
+    roles = roles if fitted else roles.present(df.columns)
     return add_numbers(add_grams(df, roles), roles)
 
 
@@ -109,7 +119,7 @@ class FeaturePlan:
     def stages(self, output: str = "features") -> list[Transformer]:
         """Pipeline stages over a table prepared by ``split_columns``."""
         size = VectorSizeHint(
-            inputCol=NUMBERS, size=len(number_names(self.roles)), handleInvalid="optimistic"
+            inputCol=NUMBERS, size=len(number_names(self.roles)), handleInvalid="error"
         )
         if not self.vocabulary:
             return [size, VectorAssembler(inputCols=[NUMBERS], outputCol=output, handleInvalid="keep")]

@@ -142,10 +142,10 @@ def class_labels(df: DataFrame, target: str) -> tuple[str, ...]:
     return tuple(row[target] for row in class_order(df, target).orderBy("class_index").collect())
 
 
-def prepare(df: DataFrame, spec: TrainSpec, labels: Sequence[str]) -> DataFrame:
-    """Split feature columns and numeric label; shared by all folds."""
+def prepare(df: DataFrame, spec: TrainSpec, labels: Sequence[str], fitted: Roles | None = None) -> DataFrame:
+    """Split feature columns and numeric label; shared by all folds. ``fitted``: the roles of models to score."""
     label = label_index(spec.target, labels) if spec.task == "classification" else F.col(spec.target).cast("double")
-    return split_columns(df.withColumn("label", label), spec.roles)
+    return split_columns(df.withColumn("label", label), fitted or spec.roles, fitted is not None)
 
 
 def search_params(
@@ -247,8 +247,8 @@ def cv_train(
 
 
 def score_holdout(models: Sequence[FoldModel], df: DataFrame, spec: TrainSpec) -> DataFrame:
-    """Predictions of every fold model on a held-out table."""
-    prepared = without_nan_rows(prepare(df, spec, models[0].labels))
+    """Predictions of every fold model on a held-out table; its features are those the models were fitted on."""
+    prepared = without_nan_rows(prepare(df, spec, models[0].labels, models[0].plan.roles))
     parts = [predict_rows(m, prepared, spec.row_key, spec.target) for m in models]
     return materialise(reduce(DataFrame.unionByName, parts), "predictions")
 

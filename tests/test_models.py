@@ -156,3 +156,20 @@ def test_studies_from_tag_documents(spark, trained):
     config = ModelConfig(tuple(trained[0]), "prostate_mpmri", {"series_description": "^T2"})
     out = predict_studies([documents], config).collect()
     assert [(r.patient_id, r.series_uid, r.prediction_heuristics) for r in out] == [("st", "a", "T2W")]
+
+
+def test_scored_tables_need_not_have_the_training_columns(trained, series):
+    """Extra, missing and reordered role columns: the features stay those of the fitted models."""
+    fitted, _ = trained
+    table = training_table(series)
+    key = ["series_uid", "fold"]
+
+    def scores(df):
+        return {tuple(r[k] for k in key): r.y_pred for r in models.score_holdout(fitted, df, replace(SPEC, row_key=("series_uid",))).collect()}
+
+    plain = scores(table)
+    assert scores(table.withColumn("repetition_time", F.lit("3000 4")).withColumn("image_max", F.lit(9.0))) == plain
+    assert scores(table.select(*reversed(table.columns))) == plain
+    without = table.drop("image_mean")
+    assert scores(without) == scores(table.withColumn("image_mean", F.lit(None).cast("double")))
+    assert models.score_ensemble(fitted, table.drop("echo_time", "image_mean")).count() == table.count()
