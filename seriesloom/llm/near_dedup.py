@@ -10,12 +10,13 @@ sets' similarity, so they can be banded.
    equal sets fall into one class; only classes are compared.
 2. Classes that agree on all registers of a band meet in that band's bucket. A pair at similarity 0.85
    misses all 40 bands of 5 with probability 7e-11, at 0.8 with 1e-7.
-3. In each bucket, pivots are compared with the members outside their component; buckets whose members
-   are all in one component are done, used pivots leave their bucket, and the number of pivots grows
-   GROWTH-fold per round until no bucket is open. The first pivot is the member with most neighbours, in
-   a group of near copies mostly their original. So n near copies cost about n comparisons, not n * n,
-   and no pair of different components goes untested: members that link with none of many similar ones
-   meet all of them, but only as sketches, inside the join (low register bits, five standard errors).
+3. Buckets are worked off in three turns. First the member with most neighbours, in a group of near copies
+   mostly their original, is the bucket's pivot and meets all others; members that link with the same pivot
+   count as one component. Then PIVOTS members outside the bucket's largest component meet all that are not
+   in theirs, and last every member that is still outside does. Buckets whose members are all in one
+   component are done, and used pivots leave their bucket. So n near copies cost about n comparisons, not
+   n * n, and no pair of different components goes untested: members that link with none of many similar
+   ones meet all of them, but only as sketches, inside the join (low register bits, five standard errors).
 4. A comparison is a maximum-likelihood estimate of the similarity from both register arrays and the
    known set sizes; pairs that come within six standard errors of the threshold are decided on the full
    shingle sets of both texts.
@@ -42,7 +43,7 @@ LANES = 32  # long values with the low four bits of 16 registers each; the first
 B, A, Q = 1.001, 20.0, 2**16 - 2  # base, rate and range of the registers
 _ODD = np.random.default_rng(7).integers(1, 2**63, 16 * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 128  # elements handled at once: 128 x 512 values of 8 bytes stay in cache
-GROWTH = 16
+PIVOTS = 32  # pivots of a bucket in the second turn
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
@@ -175,19 +176,50 @@ def _confirm(percent: int):
                     key, first = b[i].as_py(), next(shingle_sets(batch.column(3).slice(i, 1)))
                 common = len(np.intersect1d(left, first, assume_unique=True))
                 held.append(100 * common >= percent * (len(left) + len(first) - common))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(held, pa.bool_()))
+            links = pa.RecordBatch.from_arrays([a, b, batch.column(4)], names=["a", "b", "rank"])
+            yield links.filter(pa.array(held, pa.bool_()))
 
     return confirm
 
 
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the similarity."""
+    """The pairs (a, b, rank) of classes whose sets reach the similarity."""
     sketches = classes.select("class_id", "n", "registers")
     both = pairs.join(sketches.toDF("a", "na", "ra"), "a").join(sketches.toDF("b", "nb", "rb"), "b")
     estimate, least = _estimate(percent / 100)
-    near = both.where(estimate("ra", "rb", "na", "nb") >= least).select("a", "b")
+    near = both.where(estimate("ra", "rb", "na", "nb") >= least).select("a", "b", "rank")
     full = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
+    full = full.select("a", "b", "text_a", "text_b", "rank")
+    return full.mapInArrow(_confirm(percent), "a long, b long, rank long")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with several components: their component and the bucket's largest."""
+    state = members.join(labels.toDF("class_id", "label"), "class_id", "left").select(
+        "bucket", "class_id", "n", "near", F.coalesce("label", "class_id").alias("comp")
+    )
+    by_comp = state.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.max("near").alias("near"))
+    main = by_comp.groupBy("bucket").agg(
+        F.max(F.struct("size", -F.col("near"), "comp"))["comp"].alias("main"), F.count("*").alias("comps")
+    )
+    return state.join(main.where("comps > 1").select("bucket", "main"), "bucket")
+
+
+def _pivots(still: DataFrame, *slot: Column) -> DataFrame:
+    """Of each slot of each bucket the member with most neighbours."""
+    best = still.groupBy("bucket", *slot).agg(F.max(F.struct("near", "class_id", "n", "comp")).alias("p"))
+    return best.select(
+        "bucket", F.col("p.class_id").alias("p"), F.col("p.n").alias("pn"), F.col("p.near").alias("pnear"), F.col("p.comp").alias("pc")
+    )
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, rank): b is the one with more neighbours, and rank their number."""
+    own, other = F.struct("near", "class_id"), F.struct(F.col("pnear").alias("near"), F.col("p").alias("class_id"))
+    both = met.select(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"))
+    return both.select(
+        F.col("low.class_id").alias("a"), F.col("high.class_id").alias("b"), F.col("high.near").alias("rank")
+    ).distinct()
 
 
 def _most_differ(percent: int) -> int:
@@ -199,7 +231,6 @@ def _most_differ(percent: int) -> int:
 
 def _labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """class_id, label of all classes that are linked with another one."""
-    spark = classes.sparkSession
     bands = [F.xxhash64(F.lit(i), F.expr(f"substring(registers, {2 * ROWS * i + 1}, {2 * ROWS})")) for i in range(BANDS)]
     members = classes.select("class_id", "n", F.explode(F.array(*bands)).alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -214,44 +245,44 @@ def _labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         .agg(F.any_value("text").alias("text")),
         "texts",
     )
-    links = spark.createDataFrame([], "a long, b long")
-    labels, turn = None, 0
-    while True:
-        state = members.withColumn("comp", F.col("class_id"))
-        if labels is not None:
-            state = members.join(labels.toDF("class_id", "label"), "class_id", "left").withColumn(
-                "comp", F.coalesce("label", "class_id")
-            )
-        state = state.select("bucket", "class_id", "n", "near", "comp")
-        by_comp = state.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.max("near").alias("near"))
-        main = by_comp.groupBy("bucket").agg(
-            F.max(F.struct("size", -F.col("near"), "comp"))["comp"].alias("main"), F.count("*").alias("comps")
-        )
-        still = materialise(state.join(main.where("comps > 1").select("bucket", "main"), "bucket"), "open")
-        if still.isEmpty():
-            return labels if labels is not None else spark.createDataFrame([], "node long, label long")
-        slot = F.pmod(F.xxhash64(F.lit(turn), "class_id"), F.lit(GROWTH**turn))
-        pivots = materialise(
-            still.where("comp <> main")
-            .groupBy("bucket", slot.alias("slot"))
-            .agg(F.max(F.struct("near", "class_id", "n", "comp")).alias("p"))
-            .select("bucket", F.col("p.class_id").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")),
-            "pivots",
-        )
-        apart = F.expr(f"comp <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
-        if turn == 0:
-            met = still.join(pivots, "bucket").where(apart)
-        else:
-            own = still.join(classes.select("class_id", *_lane_columns("own")), "class_id")
-            their = pivots.join(classes.select(F.col("class_id").alias("p"), *_lane_columns("their")), "p")
-            alike = lanes_differ("own", "their") <= _most_differ(percent)
-            met = own.join(their.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & apart & alike)
-        pairs = met.select(F.least("class_id", "p").alias("a"), F.greatest("class_id", "p").alias("b")).distinct()
-        links = links.union(materialise(_links(pairs, classes, texts, percent), "links"))
-        labels = connected_components(links)
+    sized = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
+
+    def linked(met: DataFrame) -> DataFrame:
+        return materialise(_links(_pairs(met), classes, texts, percent), "links")
+
+    def screened(still: DataFrame, pivots: DataFrame, apart: Column) -> DataFrame:
+        own = still.join(classes.select("class_id", *_lane_columns("own")), "class_id")
+        their = pivots.join(classes.select(F.col("class_id").alias("p"), *_lane_columns("their")), "p")
+        alike = lanes_differ("own", "their") <= _most_differ(percent)
+        met = (F.col("bucket") == F.col("b")) & apart & sized & alike
+        return own.join(their.withColumnRenamed("bucket", "b"), met)
+
+    def without(still: DataFrame, pivots: DataFrame) -> DataFrame:
         used = pivots.select("bucket", F.col("p").alias("class_id"))
-        members = still.join(used, ["bucket", "class_id"], "left_anti").select("bucket", "class_id", "n", "near")
-        turn += 1
+        return still.join(used, ["bucket", "class_id"], "left_anti").select("bucket", "class_id", "n", "near")
+
+    # one pivot for each bucket
+    pivots = materialise(_pivots(members.withColumn("comp", F.col("class_id"))), "pivots")
+    links = linked(members.join(pivots, "bucket").where(sized & (F.col("class_id") != F.col("p"))))
+    # those that link with one and the same pivot are connected; that is enough to choose the next pairs
+    hubs = links.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("rank", "b"))["b"].alias("label"))
+    still = materialise(_open(without(members, pivots), hubs), "open")
+    if still.isEmpty():
+        return connected_components(links)
+
+    # some of those outside the largest component
+    slot = F.pmod(F.xxhash64("class_id"), F.lit(PIVOTS)).alias("slot")
+    pivots = materialise(_pivots(still.where("comp <> main"), slot), "pivots")
+    links = links.union(linked(screened(still, pivots, F.expr("comp <> pc"))))
+    labels = connected_components(links)
+    still = materialise(_open(without(still, pivots), labels), "open")
+    if still.isEmpty():
+        return labels
+
+    # all of them; two that are both outside meet once
+    pivots = _pivots(still.where("comp <> main"), F.col("class_id"))
+    last = linked(screened(still, pivots, F.expr("comp <> pc and (comp = main or class_id < p)")))
+    return labels if last.isEmpty() else connected_components(links.union(last))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
