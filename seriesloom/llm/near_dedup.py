@@ -11,9 +11,10 @@ sets' similarity, so they can be banded.
 2. Classes that agree on all registers of a band meet in that band's bucket. A pair at similarity 0.85
    misses all 40 bands of 5 with probability 7e-11, at 0.8 with 1e-7.
 3. Buckets are worked off in three turns. First the member with most neighbours, in a group of near copies
-   mostly their original, is the bucket's pivot and meets all others; members that link with the same pivot
-   count as one component. Then PIVOTS members outside the bucket's largest component meet all that are not
-   in theirs, and last every member that is still outside does. Buckets whose members are all in one
+   mostly their original, is the bucket's pivot and meets all others. Then PIVOTS members outside the bucket's largest component meet all that are not
+   in theirs, and last every member that is still outside does. A pair that shares several buckets is taken
+   from the first of them: it is open as long as the two are in different components, and a pivot that has
+   left it has met the other there. Buckets whose members are all in one
    component are done, and used pivots leave their bucket. So n near copies cost about n comparisons, not
    n * n, and no pair of different components goes untested: members that link with none of many similar
    ones meet all of them, but only as sketches, inside the join (low register bits, five standard errors).
@@ -233,6 +234,7 @@ def _labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """class_id, label of all classes that are linked with another one."""
     bands = [F.xxhash64(F.lit(i), F.expr(f"substring(registers, {2 * ROWS * i + 1}, {2 * ROWS})")) for i in range(BANDS)]
     members = classes.select("class_id", "n", F.explode(F.array(*bands)).alias("bucket"))
+    signs = classes.select("class_id", "lanes", F.array(*bands).alias("bands"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(members.join(shared, "bucket"), "members")
     near = members.groupBy("class_id").agg(F.sum("size").alias("near"))
@@ -251,10 +253,12 @@ def _labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         return materialise(_links(_pairs(met), classes, texts, percent), "links")
 
     def screened(still: DataFrame, pivots: DataFrame, apart: Column) -> DataFrame:
-        own = still.join(classes.select("class_id", *_lane_columns("own")), "class_id")
-        their = pivots.join(classes.select(F.col("class_id").alias("p"), *_lane_columns("their")), "p")
+        own = still.join(signs.select("class_id", F.col("bands").alias("own"), *_lane_columns("own")), "class_id")
+        their = signs.select(F.col("class_id").alias("p"), F.col("bands").alias("their"), *_lane_columns("their"))
+        their = pivots.join(their, "p")
         alike = lanes_differ("own", "their") <= _most_differ(percent)
-        met = (F.col("bucket") == F.col("b")) & apart & sized & alike
+        once = F.get(F.array_intersect("own", "their"), F.lit(0)) == F.col("bucket")
+        met = (F.col("bucket") == F.col("b")) & apart & sized & alike & once
         return own.join(their.withColumnRenamed("bucket", "b"), met)
 
     def without(still: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -264,11 +268,10 @@ def _labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     # one pivot for each bucket
     pivots = materialise(_pivots(members.withColumn("comp", F.col("class_id"))), "pivots")
     links = linked(members.join(pivots, "bucket").where(sized & (F.col("class_id") != F.col("p"))))
-    # those that link with one and the same pivot are connected; that is enough to choose the next pairs
-    hubs = links.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("rank", "b"))["b"].alias("label"))
-    still = materialise(_open(without(members, pivots), hubs), "open")
+    labels = connected_components(links)
+    still = materialise(_open(without(members, pivots), labels), "open")
     if still.isEmpty():
-        return connected_components(links)
+        return labels
 
     # some of those outside the largest component
     slot = F.pmod(F.xxhash64("class_id"), F.lit(PIVOTS)).alias("slot")
