@@ -55,16 +55,7 @@ def fuzzy_match_names(
     partial aggregate, so only one row per known name and task is shuffled. Ties go to the
     alphabetically first candidate.
     """
-    names = candidates.select(F.col(column).alias("candidate")).distinct()
-    similarity = 1 - F.levenshtein(F.col("known"), F.col("plain")) / F.greatest(
-        F.length("known"), F.length("plain")
-    )
-    scored = names.select(
-        "candidate",
-        normalise_name("candidate").alias("plain"),
-        F.explode(F.array(*[F.lit(k) for k in known])).alias("known"),
-    ).select("known", "candidate", similarity.alias("similarity"))
-    best = scored.groupBy("known").agg(
+    best = name_similarities(candidates, column, known).groupBy("known").agg(
         F.min(F.struct((-F.col("similarity")).alias("distance"), F.col("candidate"))).alias("best")
     )
     similarity = -F.col("best.distance")
@@ -75,10 +66,29 @@ def fuzzy_match_names(
     )
 
 
+def name_similarities(candidates: DataFrame, column: str, known: Sequence[str]) -> DataFrame:
+    """(known, candidate, similarity) of every distinct candidate and known name."""
+    names = candidates.select(F.col(column).alias("candidate")).distinct()
+    similarity = 1 - F.levenshtein(F.col("known"), F.col("plain")) / F.greatest(
+        F.length("known"), F.length("plain")
+    )
+    return names.select(
+        "candidate",
+        normalise_name("candidate").alias("plain"),
+        F.explode(F.array(*[F.lit(k) for k in known])).alias("known"),
+    ).select("known", "candidate", similarity.alias("similarity"))
+
+
 def auto_match_columns(df: DataFrame, known: Sequence[str], threshold: float = 0.8) -> tuple[dict[str, str], list[str]]:
-    """Rename map ``{column: known name}`` for a table's columns, and the names that found no match."""
-    spark = df.sparkSession
-    names = spark.createDataFrame([(c,) for c in df.columns], "name string")
-    rows = fuzzy_match_names(names, "name", known, threshold).collect()
-    matched = {row.candidate: row.known for row in rows if row.candidate is not None}
-    return matched, sorted(row.known for row in rows if row.candidate is None)
+    """Rename map ``{column: known name}`` for a table's columns, and the names that found no match.
+
+    One-to-one: the most similar pair is taken first, and neither of its names again. Ties go by known
+    name, then by column name.
+    """
+    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
+    near = name_similarities(names, "name", known).where(F.col("similarity") > threshold).collect()
+    matched: dict[str, str] = {}
+    for row in sorted(near, key=lambda r: (-r.similarity, r.known, r.candidate)):
+        if row.candidate not in matched and row.known not in matched.values():
+            matched[row.candidate] = row.known
+    return matched, sorted(set(known) - set(matched.values()))

@@ -79,6 +79,8 @@ MODELS: dict[str, dict[str, tuple[type, dict, dict]]] = {
 }
 # the boosting libraries' names stand for Spark's boosting
 ALIASES = {"xgb": "gbt", "lgb": "gbt", "catboost": "gbt"}
+# models that keep rows with missing numeric features
+KEEP_GAPS = ("xgb", "lgb")
 
 
 @dataclass(frozen=True)
@@ -148,6 +150,11 @@ def prepare(df: DataFrame, spec: TrainSpec, labels: Sequence[str], fitted: Roles
     return split_columns(df.withColumn("label", label), fitted or spec.roles, fitted is not None)
 
 
+def usable(prepared: DataFrame, spec: TrainSpec) -> DataFrame:
+    """The prepared rows that the model takes: all, or those with at most one missing numeric feature."""
+    return prepared if spec.model in KEEP_GAPS else without_nan_rows(prepared)
+
+
 def search_params(
     featured: DataFrame, spec: TrainSpec, draws: int = 50
 ) -> tuple[DataFrame, PipelineModel]:
@@ -183,9 +190,10 @@ def search_params(
 
 
 def fit_model(train: DataFrame, spec: TrainSpec, labels: Sequence[str], fold: str = "0") -> FoldModel:
-    """Fit vectoriser, variance filter and model on prepared rows."""
-    rows = without_nan_rows(train.filter(F.col("label").isNotNull()))
-    plan = fit_features(rows, spec.roles, spec.min_share)
+    """Fit vectoriser, variance filter and model on prepared rows; the vectoriser learns from all labelled ones."""
+    labelled = train.filter(F.col("label").isNotNull())
+    plan = fit_features(labelled, spec.roles, spec.min_share)
+    rows = usable(labelled, spec)
     front = plan.stages()
     featured = PipelineModel(stages=front).transform(rows)
     if spec.search_draws:
@@ -238,7 +246,7 @@ def cv_train(
     for value in folds:
         inside = F.col(fold) == F.lit(value)
         model = fit_model(prepared.filter(~inside), spec, labels, str(value))
-        held_out = without_nan_rows(prepared.filter(inside))
+        held_out = usable(prepared.filter(inside), spec)
         models.append(model)
         parts.append(predict_rows(model, held_out, spec.row_key, spec.target))
     predictions = materialise(reduce(DataFrame.unionByName, parts), "predictions")
@@ -248,7 +256,7 @@ def cv_train(
 
 def score_holdout(models: Sequence[FoldModel], df: DataFrame, spec: TrainSpec) -> DataFrame:
     """Predictions of every fold model on a held-out table; its features are those the models were fitted on."""
-    prepared = without_nan_rows(prepare(df, spec, models[0].labels, models[0].plan.roles))
+    prepared = usable(prepare(df, spec, models[0].labels, models[0].plan.roles), spec)
     parts = [predict_rows(m, prepared, spec.row_key, spec.target) for m in models]
     return materialise(reduce(DataFrame.unionByName, parts), "predictions")
 

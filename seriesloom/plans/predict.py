@@ -50,9 +50,12 @@ def predict_paths(
     reduce: str = "series",
     mapping: Mapping[str, str] | Iterable[str] | None = None,
     mode: str = "exact",
+    multiline: bool = False,
+    whole_file: bool = False,
 ) -> DataFrame:
-    """As ``predict``, from files, sorted by study and series."""
-    features = sanitize(read_any(spark, paths, LEVELS[reduce], mapping), mode)
+    """As ``predict``, from files, sorted by study and series. The last two parameters are ``read_any``'s."""
+    table = read_any(spark, paths, LEVELS[reduce], mapping, multiline=multiline, whole_file=whole_file)
+    features = sanitize(table, mode)
     return sort_predictions(score_ensemble(models, features, rule))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from seriesloom.operators.clean import clean_target, drop_role_columns, sanitize
 from seriesloom.operators.models import FoldModel, TrainSpec, cv_train, score_holdout
 from seriesloom.operators.split import group_kfold, leave_one_group_out, subset_rows
-from seriesloom.roles import STANDARD
 from seriesloom.session import materialise
 from seriesloom.sources.tables import read_any
 
@@ -83,15 +82,25 @@ def learning_curve(
     exclusions: Sequence[Sequence[str]] = ((),),
     n_folds: int = 5,
     holdout: DataFrame | None = None,
+    params: Mapping[str, Mapping[str, object]] | None = None,
 ) -> DataFrame:
-    """Predictions for every fraction of the rows, model and column exclusion, ready for ``metrics_long``."""
+    """Predictions for every fraction of the rows, model and column exclusion, ready for ``metrics_long``.
+
+    ``params`` holds parameters by model name; those of ``spec`` are for its own model only.
+    """
+    params = {spec.model: dict(spec.params), **(params or {})}
     df = materialise(df, "training")
     holdout = None if holdout is None else materialise(holdout, "holdout")
     parts = []
     for fraction in fractions:
         for model in models:
             for exclusion in exclusions:
-                current = replace(spec, model=model, roles=STANDARD.restricted(exclude=exclusion))
+                current = replace(
+                    spec,
+                    model=model,
+                    params=tuple(params.get(model, {}).items()),
+                    roles=spec.roles.restricted(exclude=exclusion),
+                )
                 subset = None if fraction == 1 else fraction
                 _, rows = _train(df, current, n_folds, None, subset, holdout)
                 rows = rows.withColumns(

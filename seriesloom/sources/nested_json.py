@@ -28,10 +28,14 @@ def scan_nested_json(
 def explode_documents(df: DataFrame, json: str | Column, features: Sequence[str] | None = None) -> DataFrame:
     """Documents → one row per instance; the n-th row takes the n-th value of every feature.
 
-    Shorter lists end in NULL; a scalar holds for every row of its series. Without ``features`` the
-    names are first gathered with one pass over the documents.
+    Shorter lists end in NULL; a scalar holds for every row of its series, and a series of scalars only is
+    one row. Text that is no such document is an error, blank text is none. Without ``features`` the names
+    are first gathered with one pass over the documents.
     """
-    document = F.from_json(json, _DOCUMENT)
+    text = F.col(json) if isinstance(json, str) else json
+    unreadable = F.raise_error(F.concat(F.lit("not a nested document of one line or file: "), F.substring(text, 1, 200)))
+    read = F.from_json(text, _DOCUMENT)
+    document = F.when(read.isNull() & (F.trim(text) != ""), unreadable.cast(_DOCUMENT)).otherwise(read)
     series = (
         df.select(F.explode(document).alias("patient_id", "studies"))
         .select("patient_id", F.explode("studies").alias("study_uid", "series"))
@@ -51,11 +55,15 @@ def explode_documents(df: DataFrame, json: str | Column, features: Sequence[str]
         *[F.struct(lists[f].alias("list"), raw[f].alias("text")).alias(f"_{f}") for f in features],
     )
     longest = F.greatest(*[F.coalesce(F.size(f"_{f}.list"), F.lit(0)) for f in features], F.lit(0))
-    rows = parsed.filter(longest > 0).withColumn("_at", F.explode(F.sequence(F.lit(0), longest - 1)))
+    no_list = F.coalesce(*[F.col(f"_{f}.list") for f in features]).isNull() if features else F.lit(False)
+    no_text = F.coalesce(*[F.col(f"_{f}.text") for f in features]).isNull() if features else F.lit(True)
+    count = F.when(no_list & ~no_text, 1).otherwise(longest)
+    counted = parsed.withColumn("#n", count).filter(F.col("#n") > 0)
+    rows = counted.withColumn("#at", F.explode(F.sequence(F.lit(0), F.col("#n") - 1)))
 
     def value_of(feature: str) -> Column:
         cell = F.col(f"_{feature}")
-        return F.when(cell["list"].isNotNull(), F.get(cell["list"], F.col("_at"))).otherwise(cell["text"])
+        return F.when(cell["list"].isNotNull(), F.get(cell["list"], F.col("#at"))).otherwise(cell["text"])
 
     return rows.select(*KEYS, *[value_of(f).alias(f) for f in features])
 

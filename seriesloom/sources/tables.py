@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesloom.operators.clean import rename_columns, underscore_names, union_vertical
 from seriesloom.operators.joins import auto_match_columns
@@ -72,11 +73,15 @@ def read_any(
     keys: Sequence[str] | None = SERIES_KEYS,
     mapping: Mapping[str, str] | Iterable[str] | None = None,
     auto_match: bool = False,
+    multiline: bool = False,
+    whole_file: bool = False,
 ) -> DataFrame:
     """Read paths of any supported type, stack them, rename, and fold them by ``keys`` unless None.
 
-    Types are stacked in the order delimited, parquet, JSON, whatever the order of the paths. Tables
-    of different schemas are an error.
+    Types are stacked in the order delimited, parquet, JSON, whatever the order of the paths. Delimited
+    and JSON cells are text; beside them the cells of parquet tables become text too. Tables of different
+    columns are an error, their order is that of the first. ``multiline`` allows line breaks in delimited
+    cells, ``whole_file`` takes one JSON document per file, indented or not, instead of one per line.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     kinds: dict[str, list[str]] = {"csv": [], "tsv": [], "parquet": [], "json": []}
@@ -84,11 +89,15 @@ def read_any(
         if suffix_of(path) not in kinds:
             raise ValueError(f"input must be csv, tsv, parquet or json: {path}")
         kinds[suffix_of(path)].append(path)
-    frames = [scan_delimited(spark, p) for p in (*kinds["csv"], *kinds["tsv"])]
+    frames = [scan_delimited(spark, p, multiline=multiline) for p in (*kinds["csv"], *kinds["tsv"])]
     frames += [scan_parquet(spark, p) for p in kinds["parquet"]]
-    frames += [scan_nested_json(spark, p) for p in kinds["json"]]
+    frames += [scan_nested_json(spark, p, whole_file=whole_file) for p in kinds["json"]]
     if not frames:
         raise ValueError("no input paths")
+    if len(frames) > len(kinds["parquet"]) > 0:
+        frames = [frame.select(*[F.col(c).cast("string").alias(c) for c in frame.columns]) for frame in frames]
+    first = frames[0].columns
+    frames = [frame.select(*first) if sorted(frame.columns) == sorted(first) else frame for frame in frames]
     table = union_vertical(frames)
     if mapping is not None:
         table = rename_columns(table, mapping)
