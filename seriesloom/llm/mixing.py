@@ -3,28 +3,32 @@
 Time runs in slots; one block of documents is read per slot. Block i (from 0) of a source with weight w
 is released at slot floor(i / w) and due before slot ceil((i + 1) / w); among the released blocks the
 one due first takes the slot. With weights that sum to 1 every block meets its deadline, so after any
-number of slots a source is less than one block away from its share.
-
-Weights are rounded to ``share / PERIOD``, so the schedule repeats after PERIOD slots, in which a source
-has exactly ``share`` blocks. Only one period is worked out, on the driver, from the weights alone; the
-slot of any block of any source follows by arithmetic. Documents get their place in their source without
-a sort of the source: counts per hash range give the range's offset, and only rows inside a range are
-ranked. A source that runs out of blocks leaves its slots empty; the others keep their own.
+number of slots a source that has blocks left is less than one block away from its share.
+
+Weights are exact fractions and never rounded, so the schedule does not drift at any length. It is made
+by one task that holds a row per source and sends out a row per block, in time of blocks * log(sources);
+all else is spread. Documents get their place in their source without a sort of the source: counts per
+hash range give the range's offset, and only rows inside a range are ranked. A source that runs out of
+blocks leaves its slots; the others keep their windows, so they do not fill up with it. The tables of
+sources and slots are joined; Spark measures whether they are small enough to broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import heapq
+from collections.abc import Iterable, Iterator, Mapping
 from fractions import Fraction
-from math import ceil, floor
+from itertools import islice
+from math import floor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesloom.session import materialise
 
-PERIOD = 1000  # slots of a period, and so the resolution of weights
+PERIOD = 1000  # slots that ``share`` refers to
 BLOCK = 8  # documents of a block
 RANGE_ROWS = 200  # documents of a hash range, on average
 MAX_SOURCES = 500  # bound of the table of sources
@@ -34,8 +38,8 @@ def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[st
     """Whole shares that sum to ``period``, by largest remainder; a source with a weight gets at least 1."""
     if not weights:
         return {}
-    if len(weights) > min(period, MAX_SOURCES) or any(w <= 0 for w in weights.values()):
-        raise ValueError(f"need positive weights of at most {min(period, MAX_SOURCES)} sources")
+    if len(weights) > period or any(w <= 0 for w in weights.values()):
+        raise ValueError(f"need positive weights of at most {period} sources")
     total = sum(Fraction(w) for w in weights.values())
     exact = {s: Fraction(w) / total * period for s, w in weights.items()}
     out = {s: max(1, floor(x)) for s, x in exact.items()}
@@ -48,20 +52,71 @@ def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[st
     return out
 
 
+def place_blocks(sources: Iterable[tuple[float | Fraction, int]]) -> Iterator[tuple[int, int, int]]:
+    """(source number, block, slot) of all blocks by slot: earliest deadline first for (weight, blocks) of each source."""
+    sources = list(sources)
+    exact = [Fraction(w) for w, _ in sources]
+    total = sum(exact)
+    over = [(total.numerator * w.denominator, total.denominator * w.numerator) for w in exact]  # 1 / weight
+    waiting = [(0, k, 0) for k, (_, blocks) in enumerate(sources) if blocks > 0]  # release, source, block
+    ready: list[tuple[int, int, int]] = []  # deadline, source, block
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, k, block = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(block + 1) * over[k][0] // over[k][1]), k, block))
+        _, k, block = heapq.heappop(ready)
+        yield k, block, slot
+        if block + 1 < sources[k][1]:
+            heapq.heappush(waiting, ((block + 1) * over[k][0] // over[k][1], k, block + 1))
+        slot += 1
+
+
 def schedule(share: Mapping[str | None, int]) -> dict[str | None, list[int]]:
-    """Earliest deadline first over one period: the slots of each source's blocks, in order."""
-    period = sum(share.values())
+    """One period of whole shares: the slots of each source's blocks, in order."""
     names = sorted(share, key=lambda s: (s is None, s or ""))
-    done = dict.fromkeys(names, 0)
     slots: dict[str | None, list[int]] = {s: [] for s in names}
-    for t in range(period):
-        ready = [s for s in names if done[s] < share[s] and done[s] * period // share[s] <= t]
-        chosen = min(ready, key=lambda s: -(-(done[s] + 1) * period // share[s]))
-        slots[chosen].append(t)
-        done[chosen] += 1
+    for k, _, slot in place_blocks((share[s], share[s]) for s in names):
+        slots[names[k]].append(slot)
     return slots
 
 
+def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches).sort_by("source").to_pydict() if (batches := list(batches)) else {"sid": []}
+    if not rows["sid"]:
+        return
+    placed = place_blocks(zip(rows["weight"], rows["blocks"], strict=True))
+    while part := list(islice(placed, 100_000)):
+        number, block, slot = zip(*part, strict=True)
+        columns = [pa.array([rows["sid"][k] for k in number], pa.int64()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["_mix_sid", "_mix_block", "_mix_slot"])
+
+
+def _sources(docs: DataFrame, weights: Mapping[str | None, float] | None, temperature: float, block: int) -> DataFrame:
+    """(sid, source, weight, blocks, ranges) of every source of ``docs``."""
+    spark = docs.sparkSession
+    sized = docs.groupBy("source").agg(F.count("*").alias("n"))
+    if weights is None:
+        sized = sized.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(float(temperature))))
+    else:
+        if any(w <= 0 for w in weights.values()):
+            raise ValueError("need positive weights")
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "name string, weight double")
+        sized = sized.join(given, F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
+    return materialise(
+        sized.select(
+            F.monotonically_increasing_id().alias("sid"),
+            "source",
+            "weight",
+            F.ceil(F.col("n") / block).alias("blocks"),
+            F.ceil(F.col("n") / RANGE_ROWS).alias("ranges"),
+        ),
+        "sources",
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
@@ -71,9 +126,10 @@ def mix_sources(
 ) -> DataFrame:
     """Every row of ``docs`` (doc_id, source, ...) with its place in the mix.
 
-    Adds share (of ``period``), block (of its source, from 0), slot (of the block) and position (slot *
-    block size + place in the block): reading by position interleaves the sources at the target weights.
-    Columns of these names that ``docs`` already has are replaced; no row is dropped or repeated.
+    Adds share (the source's exact weight times ``period``), block (of its source, from 0), slot (of the
+    block) and position (slot * block size + place in the block): reading by position interleaves the
+    sources at the target weights. Columns of these names that ``docs`` already has are replaced; no row
+    is dropped or repeated.
 
     Without ``weights`` a source's weight is its row count to the power ``temperature``. With them every
     source of the table needs one; weights of absent sources count for nothing. A null source is a
@@ -81,25 +137,16 @@ def mix_sources(
     interchangeable and a null doc_id or text is a value like any other. An empty table gives an empty
     result. More than MAX_SOURCES sources are refused.
     """
-    spark = docs.sparkSession
     own = [c for c in docs.columns if c.lower() not in ("share", "block", "slot", "position")]
-    sized = docs.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sized) > MAX_SOURCES:
+    sources = _sources(docs, weights, temperature, block)
+    if sources.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: r["n"] for r in sized}
-    if weights is None:
-        target = {s: float(n) ** temperature for s, n in sizes.items()}
-    else:
-        if missing := [s for s in sizes if s not in weights]:
-            raise ValueError(f"sources without a weight: {missing}")
-        target = {s: weights[s] for s in sizes}
-    share = shares(target, period)
-    plan = schedule(share)
-    # at most MAX_SOURCES rows and ``period`` numbers
-    table = [(i, s, share[s], ceil(sizes[s] / RANGE_ROWS), plan[s]) for i, s in enumerate(plan)]
-    sources = spark.createDataFrame(table, "sid int, source string, share int, ranges int, slots array<int>")
-    slots = F.broadcast(sources.select(F.col("sid").alias("_mix_sid"), F.col("slots").alias("_mix_slots")))
-    sources = F.broadcast(sources.drop("slots"))
+    if missing := [r["source"] for r in sources.where("weight is null").limit(20).collect()]:
+        raise ValueError(f"sources without a weight: {missing}")
+    slots = sources.select("sid", "source", "weight", "blocks").coalesce(1)
+    slots = materialise(slots.mapInArrow(_place_batches, "_mix_sid long, _mix_block long, _mix_slot long"), "slots")
+    total = sources.agg(F.sum("weight").alias("w")).first()["w"]
+    sources = sources.select("sid", "source", "ranges", (F.col("weight") / F.lit(total or 1.0) * period).alias("share"))
 
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     rows = docs.select(*own, key.alias("_mix_key")).alias("d").join(sources.alias("s"), F.expr("d.source <=> s.source"))
@@ -109,7 +156,13 @@ def mix_sources(
     counts = rows.groupBy(F.col("s.sid").alias("_mix_sid"), part.alias("_mix_part")).agg(F.count("*").alias("n"))
     before = W.partitionBy("_mix_sid").orderBy("_mix_part").rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_offset")
-    offsets = materialise(counts.select("_mix_sid", "_mix_part", offset), "offsets")
+    offsets = materialise(counts.select("_mix_sid", "_mix_part", offset, "n"), "offsets")
+    # the slots of a range's blocks go with the range's offset, so that the text needs no shuffle for them
+    first, last = F.floor(F.col("_mix_offset") / block), F.floor((F.col("_mix_offset") + F.col("n") - 1) / block)
+    of_range = offsets.withColumn("_mix_block", F.explode(F.sequence(first, last))).join(slots, ["_mix_sid", "_mix_block"])
+    offsets = of_range.groupBy("_mix_sid", "_mix_part", "_mix_offset").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_mix_block", "_mix_slot"))), lambda x: x["_mix_slot"]).alias("_mix_slots")
+    )
     inside = W.partitionBy("_mix_sid", "_mix_part").orderBy("_mix_key", "doc_id")
     placed = rows.select(
         *[F.col(f"d.{c}").alias(c) for c in own],
@@ -119,10 +172,10 @@ def mix_sources(
         F.col("s.share").alias("share"),
     ).withColumn("_mix_rank", F.row_number().over(inside) - 1)
     # ranked rows already lie by the join's keys: the text is shuffled once
-    ranked = placed.join(offsets, ["_mix_sid", "_mix_part"]).join(slots, "_mix_sid")
+    ranked = placed.join(offsets, ["_mix_sid", "_mix_part"])
     ranked = ranked.withColumn("_mix_rank", (F.col("_mix_rank") + F.col("_mix_offset")).cast("long"))
     number = F.floor(F.col("_mix_rank") / block)
-    slot = F.floor(number / F.col("share")) * period + F.get(F.col("_mix_slots"), (number % F.col("share")).cast("int"))
+    slot = F.get(F.col("_mix_slots"), (number - F.floor(F.col("_mix_offset") / block)).cast("int"))
     return (
         ranked.withColumn("block", number)
         .withColumn("slot", slot)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,24 @@ def test_mix(docs):
         mixing.mix_sources(docs, {"s0": 1.0})
 
 
+def test_schedule_never_drifts_from_unrounded_weights(spark):
+    weights = {"a": 0.0025, "b": 0.0004, "c": 0.3331, "d": 0.664}
+    total = sum(map(Fraction, weights.values()))
+    blocks = 5000
+    done = dict.fromkeys(weights, 0)
+    names = sorted(weights)
+    for k, block, slot in mixing.place_blocks((weights[s], blocks) for s in names):
+        s = names[k]
+        exact = Fraction(weights[s]) / total
+        assert block == done[s] and block < (slot + 1) * exact + 1 and slot * exact < block + 1
+        done[s] += 1
+    assert set(done.values()) == {blocks}
+    rows = [(i, f"t{i}", "rare" if i < 3 else "main") for i in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(table, {"rare": 0.0025, "main": 0.9975}, block=1).where("source = 'rare'").collect()
+    assert all(abs((r.slot + 1) * 0.0025 - (r.block + 1)) < 1 for r in got)
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secret_scan.fit_forest(secret_scan.labelled_findings(spark, 1400))
