@@ -31,7 +31,6 @@ from seriesloom.session import materialise
 PERIOD = 1000  # slots that ``share`` refers to
 BLOCK = 8  # documents of a block
 RANGE_ROWS = 200  # documents of a hash range, on average
-MAX_SOURCES = 500  # bound of the table of sources
 
 
 def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -135,12 +134,10 @@ def mix_sources(
     source of the table needs one; weights of absent sources count for nothing. A null source is a
     source of its own. Within a source the order is that of a hash of (doc_id, text); equal rows are
     interchangeable and a null doc_id or text is a value like any other. An empty table gives an empty
-    result. More than MAX_SOURCES sources are refused.
+    result. Sources may be of any number.
     """
     own = [c for c in docs.columns if c.lower() not in ("share", "block", "slot", "position")]
     sources = _sources(docs, weights, temperature, block)
-    if sources.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     if missing := [r["source"] for r in sources.where("weight is null").limit(20).collect()]:
         raise ValueError(f"sources without a weight: {missing}")
     slots = sources.select("sid", "source", "weight", "blocks").coalesce(1)

@@ -201,6 +201,15 @@ def test_schedule_never_drifts_from_unrounded_weights(spark):
     assert all(abs((r.slot + 1) * 0.0025 - (r.block + 1)) < 1 for r in got)
 
 
+def test_mix_of_many_sources(spark):
+    rows = [(i, f"t{i}", f"site{i % 1300}" if i % 1301 else None) for i in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(table, block=2).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000)) and len({r.position for r in got}) == 4000
+    for r in got:
+        assert r.share > 0 and r.block < (r.slot + 1) * r.share / mixing.PERIOD + 1 and r.slot * r.share / mixing.PERIOD < r.block + 1
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secret_scan.fit_forest(secret_scan.labelled_findings(spark, 1400))
