@@ -8,10 +8,11 @@ bipartite graph over the whole corpus, which Spark scores in rounds:
     confidence of a pattern for a kind = sum of its instances' confidences / (distinct instances + 1)
     confidence of an instance          = 1 - product over its good patterns of (1 - confidence)
 
-Seeds have confidence 1 for their kind and 0 for others. Patterns count only with MIN_SEEDS distinct
-seeds and a confidence of GOOD_PATTERN or more; candidates with MIN_PATTERNS of them that reach ACCEPT add spans and, in the next
-round, support to patterns. Distinct instances per pattern are counted before the shuffle, so a frequent
-word before many numbers is one hot key with small partial sums.
+Seeds have confidence 1 for their kind and 0 for others. Patterns count only with a support of MIN_SEEDS,
+the sum of their distinct instances' confidences, and a confidence of GOOD_PATTERN or more; candidates with
+MIN_PATTERNS of them that reach ACCEPT are accepted, add spans and support patterns like seeds from the next
+round on. Rounds go on until none accepts a new instance. Distinct instances per pattern are counted before
+the shuffle, so a frequent word before many numbers is one hot key with small partial sums.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ from pyspark.sql import functions as F
 from seriesloom.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-MIN_SEEDS = 5  # distinct seeds a pattern needs
+MIN_SEEDS = 5  # seeds, or accepted instances by their confidence, that a pattern needs
 GOOD_PATTERN = 0.8
 ACCEPT = 0.85
 MIN_PATTERNS = 2  # good patterns an instance needs: one word beside it is no evidence
@@ -167,53 +167,70 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_find_batches, FOUND)
 
 
-def discover(events: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _hopeful(edges: DataFrame) -> DataFrame:
+    """The edges, with their pattern's size, of patterns that could become good if every open candidate were accepted.
+
+    A candidate is open that has MIN_PATTERNS patterns of MIN_SEEDS instances. The bounds hold in every round,
+    so nothing is lost with the rest.
+    """
+    sized = edges.join(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(f"n >= {MIN_SEEDS}"), "pattern")
+    sized = materialise(sized, "sized")
+    open_ = sized.where("seed < 0").groupBy("instance").count().where(f"count >= {MIN_PATTERNS}").select("instance", F.lit(True).alias("open"))
+    sized = sized.join(open_, "instance", "left").where("seed >= 0 or open")
+    at_most = [F.count(F.when((F.col("seed") == k) | (F.col("seed") < 0), 1)) for k in range(len(KINDS))]
+    most = sized.groupBy("pattern", "n").agg(F.greatest(*at_most).alias("most"))
+    able = most.where(f"most >= {MIN_SEEDS} and most >= {GOOD_PATTERN} * (n + 1)").select("pattern")
+    return materialise(sized.join(able, "pattern").select("pattern", "instance", "seed", "n"), "edges")
+
+
+def discover(events: DataFrame, rounds: int | None = None) -> DataFrame:
     """Unseen identifiers from (kind, instance, patterns) rows: instance, kind, confidence.
 
-    Only instances that are no seed of any kind are returned, each with its best kind.
+    Only instances that are no seed of any kind are returned, each with the kind that was best when it was
+    accepted. Ends after ``rounds``, or without them when a round accepts nothing new.
     """
     spark = events.sparkSession
     pairs = events.select(F.explode(F.array_distinct("patterns")).alias("pattern"), "instance", "kind")
-    edges = materialise(pairs.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")), "edges")
-    # only patterns with enough seeds of one kind can become good; the others' edges are of no use
-    able = edges.where("seed >= 0").groupBy("pattern", "seed").count().where(f"count >= {MIN_SEEDS}").select("pattern").distinct()
-    edges = materialise(edges.join(able, "pattern"), "edges")
-    kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))])).alias("kind")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    edges = _hopeful(materialise(pairs.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")), "pairs"))
     accepted = spark.createDataFrame([], "instance string, kind int, confidence double")
-    for _ in range(rounds):
+    n_accepted = done = 0
+    while rounds is None or done < rounds:
         known = accepted.select("instance", F.col("kind").alias("got"), "confidence")
         rated = edges.join(known, "instance", "left").select(
             "pattern",
-            "instance",
-            "seed",
+            "n",
             F.when(F.col("seed") >= 0, F.col("seed")).otherwise(F.col("got")).alias("kind"),
             F.when(F.col("seed") >= 0, F.lit(1.0)).otherwise(F.col("confidence")).alias("weight"),
         )
-        per_kind = rated.where("kind is not null").groupBy("pattern", "kind").agg(
-            F.sum("weight").alias("sum"), F.count(F.when(F.col("seed") >= 0, 1)).alias("seeds")
-        )
+        per_kind = rated.where("kind is not null").groupBy("pattern", "kind", "n").agg(F.sum("weight").alias("sum"))
         good = (
-            per_kind.where(f"seeds >= {MIN_SEEDS}")
-            .join(sizes, "pattern")
+            per_kind.where(f"sum >= {MIN_SEEDS}")
             .select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("p"))
             .where(f"p >= {GOOD_PATTERN}")
         )
         proposals = edges.where("seed < 0").join(good, "pattern")
         scored = proposals.groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("confidence"), F.count("*").alias("patterns")
-        ).where(f"patterns >= {MIN_PATTERNS}")
+        ).where(f"patterns >= {MIN_PATTERNS} and confidence >= {ACCEPT}")
         best = scored.groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("b"))
-        accepted = materialise(
-            best.select("instance", F.col("b.kind").alias("kind"), F.col("b.confidence").alias("confidence")).where(f"confidence >= {ACCEPT}"),
-            "accepted",
+        best = best.select("instance", F.col("b.kind").alias("kind"), F.col("b.confidence").alias("confidence"))
+        # an accepted instance stays with its kind, so the rounds end
+        grown = best.join(known.withColumnRenamed("confidence", "before"), "instance", "full").select(
+            "instance",
+            F.coalesce("got", "kind").alias("kind"),
+            F.when(F.col("got").isNull() | (F.col("got") == F.col("kind")), F.greatest("confidence", "before"))
+            .otherwise(F.col("before"))
+            .alias("confidence"),
         )
-        if accepted.isEmpty():
+        accepted = materialise(grown, "accepted")
+        done += 1
+        if (n := accepted.count()) == n_accepted:
             break
+        n_accepted = n
     return accepted
 
 
-def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def extract(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, base and spans of every row of ``docs`` (doc_id, text).
 
     ``base`` has the seeds, ``spans`` these and the discovered ones, both arrays of (kind number, start,

@@ -393,6 +393,18 @@ def test_discovery(spark, docs):
     assert pii.extract(empty(docs)).count() == 0
 
 
+def test_discovery_goes_on_from_discovered_instances(spark):
+    """Seeds give "mail to .. now", that gives a's, these alone give "ring up .. soon", and that gives b's."""
+    rows = [f"mail to user{i}@example.org now" for i in range(280)]
+    rows += [text for i in range(60) for text in (f"mail to a{i}00x now", f"ring up a{i}00x soon")]
+    rows += [f"ring up b{i}00x soon" for i in range(8)] + ["room 12345 please wait"]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for rounds, a, b in ((1, 1, 0), (None, 1, 1)):
+        for r in pii.extract(table, rounds).collect():
+            found = re.search(r" ([ab])[0-9]+00x", rows[r.doc_id])
+            assert len(r.spans) == ({"a": a, "b": b}[found[1]] if found else len(r.base)) and (found or r.doc_id < 280 or not r.base)
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok <| <|| <|n"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (1, 2, "assistant", None), (1, 3, "sys\ntem", "é"), (2, None, None, None), (None, 0, "user", ""), (1, 3, "sys\ntem", "é")]
