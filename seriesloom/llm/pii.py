@@ -1,8 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
 Forms (e-mail addresses, IP addresses, card and telephone numbers) give the seed entities. A pattern is
-the one or two words before a candidate, or the word behind it; a candidate is any string with the
-characters of an identifier (digits, or an @) outside the seeds. Pattern and candidate instances form a
+the one or two words before a candidate, or the word behind it. A candidate is a word with the characters
+of an identifier (digits, or an @), the value of such a word of the form label=value or label:value, what
+seeds leave of a word, and a run of such words, or of groups of digits alone, joined by blanks or by lone
+separators. All of these are candidates side by side, as 12345 67890 may be one number or two; of accepted
+ones that overlap, the one of greatest confidence stays, then the longest. Pattern and candidate instances form a
 bipartite graph over the whole corpus, which Spark scores in rounds:
 
     confidence of a pattern for a kind = sum of its instances' confidences / (distinct instances + 1)
@@ -18,7 +21,9 @@ the shuffle, so a frequent word before many numbers is one hot key with small pa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +43,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*")
+_LABEL = re.compile(r"[^\x20\x09-\x0D0-9@=:]+[=:]+")
+_MARK = re.compile("[0-9@]")
+_JOINT = re.compile(r"[\x20\x09]+(?:[./-][\x20\x09]+)?")
+_GROUP = re.compile(r"[+(]*[0-9][0-9()./+-]*")
+_OPEN_END = re.compile(r"[A-Za-z0-9)]")
+_OPEN_START = re.compile(r"[A-Za-z0-9(+]")
 _TRIM = "\"'()[]{}<>,;:.!?=#*$&|%"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,36 +93,127 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+_BLANK = " \t\n\v\f\r"
+
+
 def _tidy(word: str) -> str:
-    return word.strip(_TRIM).lower()
+    """The word as it stands in patterns; a long one as its hash (no tidy word begins with #)."""
+    word = word.strip(_TRIM).lower()
+    return word if len(word) <= 64 else "#" + blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
 
+class _Context:
+    """The words beside places of one text. A seed glued to a word bounds it."""
 
-def _words_before(text: str, start: int, n: int = 2) -> list[str]:
-    """Up to ``n`` words that end before ``start``, the nearest first."""
-    out: list[str] = []
-    end = start
-    while len(out) < n:
-        while end > 0 and text[end - 1] in " \t\n\v\f\r":
+    def __init__(self, text: str, taken: list[list[int]]) -> None:
+        self.text = text
+        self.starts, self.ends = [a for a, _ in taken], [b for _, b in taken]
+        self.before: dict[int, tuple[int, str]] = {}
+        self.after: dict[int, str] = {}
+
+    def _word_before(self, at: int) -> tuple[int, str] | None:
+        """Start and tidy form of the word that ends before ``at``."""
+        text = self.text
+        end = at
+        while end > 0 and text[end - 1] in _BLANK:
             end -= 1
-        begin = end
-        while begin > 0 and end - begin < 64 and text[begin - 1] not in " \t\n\v\f\r":
-            begin -= 1
-        if begin == end:
-            break
-        out.append(_tidy(text[begin:end]))
-        end = begin
-    return out
+        if end == 0:
+            return None
+        if end not in self.before:
+            k = bisect_left(self.ends, end)  # the last seed that ends before ``end``
+            floor = self.ends[k - 1] if k else 0
+            begin = end
+            while begin > floor and text[begin - 1] not in _BLANK:
+                begin -= 1
+            self.before[end] = begin, _tidy(text[begin:end])
+        return self.before[end]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        near = self._word_before(start)
+        far = self._word_before(near[0]) if near else None
+        out = [f"L1 {near[1]}"] if near and near[1] else []
+        if far and far[1]:
+            out.append(f"L2 {far[1]} {near[1]}")
+        if after := self._word_after(end):
+            out.append(f"R1 {after}")
+        return out
+
+    def _word_after(self, at: int) -> str:
+        text = self.text
+        while at < len(text) and text[at] in _BLANK:
+            at += 1
+        if at == len(text):
+            return ""
+        if at not in self.after:
+            word = _WORD.match(text, at)
+            k = bisect_left(self.starts, at + 1)  # the first seed that begins behind ``at``
+            end = min(word.end(), self.starts[k]) if k < len(self.starts) else word.end()
+            self.after[at] = _tidy(text[at:end])
+        return self.after[at]
+
+
+def _pieces(text: str, merged: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """Words with a digit or @, without the seeds in them."""
+    i = 0
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        while i < len(merged) and merged[i][1] <= start:
+            i += 1
+        while i < len(merged) and merged[i][0] < end:
+            if merged[i][0] > start:
+                yield start, merged[i][0]
+            start = merged[i][1]
+            if start >= end:
+                break
+            i += 1
+        if start < end:
+            yield start, end
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    before = _words_before(text, start)
-    after = _WORD.search(text, end)
-    out = [f"L1 {before[0]}"] if before and before[0] else []
-    if len(before) == 2 and before[1]:
-        out.append(f"L2 {before[1]} {before[0]}")
-    if after and (word := _tidy(after[0][:64])):
-        out.append(f"R1 {word}")
-    return out
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    word = text[start:end]
+    left = len(word) - len(word.lstrip(_TRIM))
+    return start + left, max(start + left, end - (len(word) - len(word.rstrip(_TRIM))))
+
+
+def _has_mark(text: str, start: int, end: int) -> bool:
+    return _MARK.search(text, start, end) is not None
+
+
+def candidate_spans(text: str, merged: list[list[int]]) -> list[tuple[int, int]]:
+    """Places of all candidates outside the seeds."""
+    spans: dict[tuple[int, int], None] = {}
+    runs: list[list[int] | None] = [None, None]  # of words with a mark, of groups of digits: start, end, words
+
+    def close(which: int) -> None:
+        run = runs[which]
+        if run and run[2] > 1:
+            spans[_trimmed(text, run[0], run[1])] = None
+        runs[which] = None
+
+    for start, end in _pieces(text, merged):
+        if not _has_mark(text, start, end):
+            continue
+        spans[_trimmed(text, start, end)] = None
+        label = _LABEL.match(text, start, end)
+        value = label.end() if label else start
+        if label and _has_mark(text, value, end):
+            spans[_trimmed(text, value, end)] = None
+        # a label begins a run; a word with punctuation on its outside ends one
+        group = _GROUP.match(text, value, end)
+        of_digits = group is not None and text[group.end() : end].strip(_TRIM) == ""
+        for which, fits in ((0, True), (1, of_digits)):
+            run = runs[which]
+            joined = run and value == start and (gap := _JOINT.match(text, run[1])) and gap.end() == start
+            joined = joined and _OPEN_END.match(text, run[1] - 1) and _OPEN_START.match(text, start)
+            if not (fits and joined):
+                close(which)
+            if fits:
+                run = runs[which]
+                runs[which] = [run[0], end, run[2] + 1] if run else [value if value < end else start, end, 1]
+    close(0)
+    close(1)
+    return [x for x in spans if x[1] - x[0] >= 4]
 
 
 def events_of(text: str, seeds: list[tuple[int, int, int]]) -> list[dict]:
@@ -123,20 +225,9 @@ def events_of(text: str, seeds: list[tuple[int, int, int]]) -> list[dict]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    out = [{"kind": k, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": _patterns(text, a, b)} for k, a, b in seeds]
-    i = 0
-    for m in _CANDIDATE.finditer(text):
-        start, end = m.start(), m.end()
-        while i < len(merged) and merged[i][1] <= start:
-            i += 1
-        if i < len(merged) and merged[i][0] < end:
-            continue
-        word = m[0]
-        start += len(word) - len(word.lstrip(_TRIM))
-        end -= len(word) - len(word.rstrip(_TRIM))
-        if end - start >= 4:
-            out.append({"kind": -1, "start": start, "end": end, "instance": text[start:end].lower(), "patterns": _patterns(text, start, end)})
-    return out
+    places = [*seeds, *((-1, a, b) for a, b in candidate_spans(text, merged))]
+    context = _Context(text, merged)
+    return [{"kind": k, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": context.patterns(a, b)} for k, a, b in places]
 
 
 _EVENTS = pa.list_(
@@ -230,12 +321,34 @@ def discover(events: DataFrame, rounds: int | None = None) -> DataFrame:
     return accepted
 
 
+_SPANS = "array<struct<kind:int,start:bigint,end:bigint>>"
+_ADDED = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def without_overlaps(found: list[dict]) -> list[dict]:
+    """Of spans that overlap the one of greatest confidence, then the longest, then the first."""
+    starts: list[int] = []
+    kept: list[dict] = []
+    for x in sorted(found, key=lambda x: (-x["confidence"], x["start"] - x["end"], x["start"])):
+        k = bisect_left(starts, x["start"])
+        if (k == 0 or kept[k - 1]["end"] <= x["start"]) and (k == len(kept) or x["end"] <= starts[k]):
+            starts.insert(k, x["start"])
+            kept.insert(k, x)
+    return kept
+
+
+def _settle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        added = [[{k: x[k] for k in ("kind", "start", "end")} for x in without_overlaps(row)] for row in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, _ADDED)], names=["row_id", "added"])
+
+
 def extract(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, base and spans of every row of ``docs`` (doc_id, text).
 
     ``base`` has the seeds, ``spans`` these and the discovered ones, both arrays of (kind number, start,
     end) sorted by kind and start; offsets are code points, end exclusive. A discovered span never
-    overlaps a seed. A null or empty text has no spans; repeated rows have theirs each and count once as
+    overlaps a seed or another discovered one. A null or empty text has no spans; repeated rows have theirs each and count once as
     an instance; a null doc_id passes through; other columns are ignored; an empty table gives an empty
     result.
     """
@@ -245,12 +358,13 @@ def extract(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     added = (
         rows.where("kind < 0")
         .select("row_id", "start", "end", "instance")
-        .join(new.select("instance", "kind"), "instance")
+        .join(new, "instance")
         .groupBy("row_id")
-        .agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+        .agg(F.collect_list(F.struct("kind", "start", "end", "confidence")).alias("found"))
+        .mapInArrow(_settle_batches, f"row_id long, added {_SPANS}")
     )
     seeds = F.transform(F.filter("events", lambda e: e["kind"] >= 0), lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end")))
-    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
+    none = F.array().cast(_SPANS)
     return (
         found.select("row_id", "doc_id", F.array_sort(seeds).alias("base"))
         .join(added, "row_id", "left")

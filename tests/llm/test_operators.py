@@ -405,6 +405,27 @@ def test_discovery_goes_on_from_discovered_instances(spark):
             assert len(r.spans) == ({"a": a, "b": b}[found[1]] if found else len(r.base)) and (found or r.doc_id < 280 or not r.base)
 
 
+def candidates_of(text):
+    return {text[e["start"] : e["end"]]: e["patterns"] for e in pii.events_of(text, pii.base_spans(text)) if e["kind"] < 0}
+
+
+def test_candidates_with_blanks_labels_and_long_words(spark):
+    got = candidates_of("call me at 555 123 4567 now")
+    assert got["555 123 4567"] == ["L1 at", "L2 me at", "R1 now"]
+    got = candidates_of("my tel=5551234 ok")
+    assert got["5551234"] == ["L1 tel", "L2 my tel", "R1 ok"]
+    assert "(555) 123 - 4567" in candidates_of("at (555) 123 - 4567.") or "555) 123 - 4567" in candidates_of("at (555) 123 - 4567.")
+    assert {"12345", "67890", "12345 67890", "no1 12345 67890"} <= set(candidates_of("of no1 12345 67890"))
+    assert set(candidates_of("1234, 5678")) == {"1234", "5678"}
+    assert set(candidates_of("a@b.org,id=99887766")) == {"id=99887766", "99887766"}
+    long = "w" * 70
+    one, two = (candidates_of(f"x {long}{c} 12345")["12345"] for c in "ab")
+    assert one != two and one[1].startswith("L2 x #")
+    rows = [f"write by mail user{i}@example.org please" for i in range(30)] + ["write by mail 555 123 4567 please"]
+    found = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [(s.start, s.end) for s in found[30]] == [(14, 26)]
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok <| <|| <|n"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (1, 2, "assistant", None), (1, 3, "sys\ntem", "é"), (2, None, None, None), (None, 0, "user", ""), (1, 3, "sys\ntem", "é")]
