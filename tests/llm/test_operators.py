@@ -231,6 +231,29 @@ def test_secrets(spark, docs, forest):
     assert secret_scan.redact(docs, forest).columns == docs.columns and secret_scan.scan(empty(docs), forest).count() == 0
 
 
+def test_secrets_are_masked_whole(spark, forest):
+    import base64
+
+    blob = base64.b64encode(hashlib.sha512(b"k").digest() * 4).decode()
+    token = base64.b64encode(hashlib.sha256(b"t").digest()).decode().replace("/", "x").replace("+", "y").replace("=", "")
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{blob[:64]}\n{blob[64:]}\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{blob}"
+    cases = [
+        (f"a {key} b", key), (f"a {cut}", cut), ("password=Tr0ub4dor!xyz#99 b", "Tr0ub4dor!xyz#99"), ('password = "p@ssw0rd!lonGer9" b', "p@ssw0rd!lonGer9"),
+        (f"a xoxb-{token * 4} b", f"xoxb-{token * 4}"), (f"a sk_live_{token * 3} b", f"sk_live_{token * 3}"), (f'SECRET_KEY = "{token}" b', token),
+        (f"private_key: {token} b", token), (f"Authorization: Bearer {token} b", token), (f"postgres://bob:{token[:14]}@db.host/x", token[:14]),
+        (f"credentials={token} b", token),
+    ]
+    rows = spark.createDataFrame([(i, t, "src") for i, (t, _) in enumerate(cases)], "doc_id long, text string, source string")
+    found = {r.row.doc_id: r.findings for r in secret_scan.scan(rows, forest).collect()}
+    assert {i: [f.secret for f in found[i]] for i in found} == {i: [x] for i, (_, x) in enumerate(cases)}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(rows, forest).collect()}
+    assert clean == {i: t.replace(x, "[SECRET]") for i, (t, x) in enumerate(cases)}
+    plain = ["see http://host:8080/a@b", "the bearer of news", "password: short", 'pwd="abc" and then more']
+    rows = spark.createDataFrame([(i, t, "src") for i, t in enumerate(plain)], "doc_id long, text string, source string")
+    assert [r.text for r in secret_scan.redact(rows, forest).orderBy("doc_id").collect()] == plain
+
+
 def test_forest_expression_and_accuracy(spark, forest):
     from pyspark.ml.functions import vector_to_array
 
