@@ -5,32 +5,42 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesloom.operators.clean import null_safe_join
 from seriesloom.roles import MISSING
+from seriesloom.session import materialise
 
 KEYS = ("patient_id", "study_uid", "series_uid")
+PART, FIRST = "#part", "#first"  # of a document's series: its part number, and its first row's place in the series
 _DOCUMENT = "map<string,map<string,map<string,map<string,string>>>>"
 
 
 def scan_nested_json(
-    spark: SparkSession, path: str, features: Sequence[str] | None = None, whole_file: bool = False
+    spark: SparkSession,
+    path: str,
+    features: Sequence[str] | None = None,
+    whole_file: bool = False,
+    position: str | None = None,
 ) -> DataFrame:
     """Instance rows of the documents at ``path``.
 
     One document per line, or with ``whole_file`` one per file. Files of one document each may be of
     any number, but each must fit a task.
     """
-    return explode_documents(spark.read.text(path, wholetext=whole_file), "value", features)
+    return explode_documents(spark.read.text(path, wholetext=whole_file), "value", features, position)
 
 
-def explode_documents(df: DataFrame, json: str | Column, features: Sequence[str] | None = None) -> DataFrame:
+def explode_documents(
+    df: DataFrame, json: str | Column, features: Sequence[str] | None = None, position: str | None = None
+) -> DataFrame:
     """Documents → one row per instance; the n-th row takes the n-th value of every feature.
 
     Shorter lists end in NULL; a scalar holds for every row of its series, and a series of scalars only is
     one row. Text that is no such document is an error, blank text is none. Without ``features`` the names
-    are first gathered with one pass over the documents.
+    are first gathered with one pass over the documents. ``position`` names a column for a row's place in
+    its series over all parts of the series (see ``to_documents``).
     """
     text = F.col(json) if isinstance(json, str) else json
     unreadable = F.raise_error(F.concat(F.lit("not a nested document of one line or file: "), F.substring(text, 1, 200)))
@@ -44,7 +54,7 @@ def explode_documents(df: DataFrame, json: str | Column, features: Sequence[str]
     if features is None:
         names = series.select(F.explode(F.map_keys("cells")).alias("name")).distinct()
         features = sorted(row.name for row in names.collect())
-    features = [f for f in features if f not in KEYS]
+    features = [f for f in features if f not in (*KEYS, PART, FIRST)]
     raw = {f: F.element_at("cells", f) for f in features}
     lists = {
         f: F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>"))
@@ -52,6 +62,7 @@ def explode_documents(df: DataFrame, json: str | Column, features: Sequence[str]
     }
     parsed = series.select(
         *KEYS,
+        F.coalesce(F.element_at("cells", FIRST).cast("long"), F.lit(0)).alias(FIRST),
         *[F.struct(lists[f].alias("list"), raw[f].alias("text")).alias(f"_{f}") for f in features],
     )
     longest = F.greatest(*[F.coalesce(F.size(f"_{f}.list"), F.lit(0)) for f in features], F.lit(0))
@@ -65,7 +76,8 @@ def explode_documents(df: DataFrame, json: str | Column, features: Sequence[str]
         cell = F.col(f"_{feature}")
         return F.when(cell["list"].isNotNull(), F.get(cell["list"], F.col("#at"))).otherwise(cell["text"])
 
-    return rows.select(*KEYS, *[value_of(f).alias(f) for f in features])
+    place = [] if position is None else [(F.col(FIRST) + F.col("#at")).alias(position)]
+    return rows.select(*KEYS, *[value_of(f).alias(f) for f in features], *place)
 
 
 def to_documents(
@@ -75,24 +87,38 @@ def to_documents(
     keys: Sequence[str] = KEYS,
     instances_per_document: int = 10_000,
 ) -> DataFrame:
-    """Rows → (document) JSON, one document per series, values in ``order``.
+    """Rows → (document) JSON, the rows of a series in ``order``.
 
-    A series of many instances is spread over several documents of about
-    ``instances_per_document`` rows each, so that none has to fit one task; reading them all gives
-    every row back. NULL is written as JSON null, a NULL key as the missing mark.
+    A series of n rows is ceil(n / ``instances_per_document``) documents, so that none has to fit one task.
+    Part k holds the rows that follow those of part k - 1; beside the features every document has, at all
+    sizes, its part number (#part, from 0) and the place of its first row in the series (#first). Joining
+    the lists of a series by #part gives the whole series in order; ``scan_nested_json`` gives every row
+    back, with its place on demand. NULL is written as JSON null, a NULL key as the missing mark.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    chunks = F.ceil(F.col("_n") / instances_per_document)
-    placed = null_safe_join(df, sizes, keys).withColumn("_chunk", F.pmod(F.xxhash64(order), chunks))
-    # by document, not by series as the join left them: a hot series must not end in one task
+    # a series lies over neighbouring ranges; written, as a second run would sample other ranges
+    ranged = df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(ranged, "ranged")
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_in_range"))
+    series = W.partitionBy(*keys)
+    before = F.sum("_in_range").over(series.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    sizes = counts.select(
+        *keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_in_range").over(series).alias("_n")
+    )
+    rank = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(order)) - 1
+    placed = null_safe_join(ranged.withColumn("_rank", rank), sizes, [*keys, "_range"])
+    placed = placed.withColumn("_rank", F.col("_rank") + F.col("_before"))
+    placed = placed.withColumn("_chunk", F.expr(f"_rank * cast(ceil(_n / {instances_per_document}) as bigint) div _n"))
+    # by document, not by series: a hot series must not end in one task
     placed = placed.repartition(*keys, "_chunk")
-    cells = F.struct(F.col(order).alias("_order"), *[F.col(f).cast("string").alias(f) for f in features])
+    cells = F.struct(F.col("_rank"), *[F.col(f).cast("string").alias(f) for f in features])
     grouped = placed.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(cells)).alias("_rows"))
     # JSON has no null key
     patient, study, series = (F.coalesce(F.col(k).cast("string"), F.lit(MISSING)) for k in keys)
-    content = F.map_from_arrays(
-        F.array(*[F.lit(f) for f in features]),
-        F.array(*[F.col("_rows")[f] for f in features]),
+    # feature lists and the two numbers are of different types, so the cells are a struct
+    content = F.struct(
+        F.col("_chunk").alias(PART),
+        F.get("_rows", F.lit(0))["_rank"].alias(FIRST),
+        *[F.col("_rows")[f].alias(f) for f in features],
     )
     nested = F.create_map(patient, F.create_map(study, F.create_map(series, content)))
     return grouped.select(F.to_json(nested, {"ignoreNullFields": "false"}).alias("document"))

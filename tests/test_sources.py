@@ -59,6 +59,28 @@ def test_hot_series_is_written_in_several_documents(spark):
     assert sorted(int(r.te) for r in back.collect()) == list(range(500))
 
 
+def test_parts_of_a_series_keep_its_order(spark):
+    rows = spark.range(500).select(
+        F.lit("p").alias("patient_id"),
+        F.lit("st").alias("study_uid"),
+        F.when(F.col("id") < 450, "hot").otherwise("small").alias("series_uid"),
+        F.col("id").cast("string").alias("te"),
+        F.col("id"),
+    )
+    documents = nested_json.to_documents(rows.repartition(7), ["te"], "id", instances_per_document=100)
+    parts = {}
+    for r in documents.collect():
+        for series, cells in json.loads(r.document)["p"]["st"].items():
+            assert int(cells["te"][0]) - (450 if series == "small" else 0) == cells["#first"]
+            parts.setdefault(series, {})[cells["#part"]] = cells["te"]
+    joined = {s: [x for k in sorted(p) for x in p[k]] for s, p in parts.items()}
+    assert {s: sorted(p) for s, p in parts.items()} == {"hot": [0, 1, 2, 3, 4], "small": [0]}
+    assert joined == {"hot": [str(i) for i in range(450)], "small": [str(i) for i in range(450, 500)]}
+    back = nested_json.explode_documents(documents, "document", position="at")
+    assert back.columns == ["patient_id", "study_uid", "series_uid", "te", "at"]
+    assert all(int(r.te) == r["at"] + (450 if r.series_uid == "small" else 0) for r in back.collect())
+
+
 def test_tag_documents(spark):
     web = json.dumps(
         {"00080008": {"vr": "CS", "Value": ["ORIGINAL", "PRIMARY", 0.5]}, "00180081": {"vr": "DS"}, "zz": {"Value": [{}]}}
