@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import chat, decontaminate, language_model, mixing, near_dedup, pii, quality, secret_scan, url_filter, warc
+from seriesloom.llm import (
+    chat,
+    decontaminate,
+    language_model,
+    manifest,
+    mixing,
+    near_dedup,
+    pii,
+    quality,
+    secret_scan,
+    url_filter,
+    warc,
+)
 from seriesloom.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +247,69 @@ SELECT conv_id, count(*)::bigint AS n_turns,
   sum(chars)::bigint AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+# ---------------------------------------------------------------- spelling, repeats, manifest
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.prove(manifest.build(_table(spark, sf_dir, "documents"), manifest.tampered_text()))
+
+
+_CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::bigint],
+  list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::bigint)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _manifest_sql(levels: int = 6) -> str:
+    def part(value: str) -> str:
+        return f"coalesce(strlen(({value})::varchar) || ':' || ({value})::varchar, '-')"
+
+    fields = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"""leaves AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i,
+    sha256({fields} || {part("text")}) AS leaf,
+    CASE WHEN {_CRC_SQL.format("doc_id::varchar")} % 5 = 0 THEN sha256({fields} || {part(lower)}) ELSE sha256({fields} || {part("text")}) END AS claim
+  FROM documents)"""
+    ]
+
+    def tree(name: str, first: str) -> str:
+        """Levels of nodes (tree, i, d) with the digests before and after each in its run of 16; a single node stays as it is."""
+        ctes.append(f"{name}0 AS (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM ({first}))")
+        for k in range(levels):
+            ctes.append(f"""{name}s{k} AS (
+  SELECT a.tree, a.i, any_value(a.c) AS c, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.i // 16 = b.i // 16 GROUP BY a.tree, a.i)""")
+            ctes.append(f"""{name}{k + 1} AS (
+  SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM (
+    SELECT tree, i // 16 AS i, CASE WHEN any_value(c) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d
+    FROM {name}{k} GROUP BY tree, i // 16))""")
+        return f"{name}{levels}"
+
+    def fold(name: str, rows: str, key: str, place: str) -> str:
+        """``rows`` with proof and fold taken through all levels of a tree."""
+        for k in range(levels):
+            ctes.append(f"""{name}f{k} AS (
+  SELECT r.* EXCLUDE (fold, proof), proof || l || s.r AS proof, CASE WHEN s.c = 1 THEN fold ELSE sha256(l || fold || s.r) END AS fold
+  FROM {rows} r JOIN {name}s{k} s ON s.tree = r.{key} AND s.i = r.{place} // {16**k})""")
+            rows = f"{name}f{k}"
+        return rows
+
+    top = tree("n", "SELECT tree, i, leaf AS d FROM leaves")
+    ctes.append(f"subroots AS (SELECT tree AS name, d, row_number() OVER (ORDER BY tree) - 1 AS place FROM {top})")
+    root = tree("m", "SELECT '' AS tree, place AS i, d FROM subroots")
+    ctes.append(
+        f"""started AS (
+  SELECT doc_id, leaf, l.tree, l.i AS i, s.d AS subroot, place, '' AS top, o.d AS root, '' AS proof, claim AS fold
+  FROM leaves l JOIN subroots s ON s.name = l.tree CROSS JOIN {root} o)"""
+    )
+    done = fold("m", fold("n", "started", "tree", "i"), "top", "place")
+    return f"""WITH {", ".join(ctes)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM {done}"""
+
+
+ORACLE["op13_merkle_manifest"] = _manifest_sql()
