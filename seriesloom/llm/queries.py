@@ -16,6 +16,7 @@ from seriesloom.llm import (
     near_dedup,
     pii,
     quality,
+    repeats,
     secret_scan,
     url_filter,
     warc,
@@ -257,6 +258,19 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.prove(manifest.build(_table(spark, sf_dir, "documents"), manifest.tampered_text()))
 
 
+@_query
+def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.strip_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 _CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::bigint],
   list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::bigint)),
   lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
@@ -312,4 +326,22 @@ def _manifest_sql(levels: int = 6) -> str:
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM {done}"""
 
 
+ORACLE["op12_suffix_repeats"] = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b, strlen(coalesce(text, ''))::bigint AS n FROM documents),
+windows AS (SELECT r, i, md5(array_slice(b, i + 1, i + {repeats.LENGTH})) AS w FROM (SELECT r, b, unnest(range(n - {repeats.LENGTH - 1})) AS i FROM t)),
+hits AS (SELECT r, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+marked AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {repeats.LENGTH}, true) AS fresh FROM hits),
+numbered AS (SELECT *, sum(fresh::int) OVER (PARTITION BY r ORDER BY i) AS span FROM marked),
+spans AS (SELECT r, span, min(i) AS low, max(i) + {repeats.LENGTH} AS high FROM numbered GROUP BY r, span),
+gaps AS (
+  SELECT r, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS low, low AS high FROM spans
+  UNION ALL SELECT r, max(high), NULL FROM spans GROUP BY r),
+kept AS (
+  SELECT t.r, unhex(string_agg(hex(array_slice(b, g.low + 1, coalesce(g.high, n))), '' ORDER BY g.low)) AS b
+  FROM gaps g JOIN t USING (r) GROUP BY t.r),
+sums AS (SELECT r, sum(high - low)::bigint AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::bigint AS n_removed, coalesce(spans, 0)::bigint AS n_spans, sha256(coalesce(k.b, t.b)) AS kept_sha256
+FROM t LEFT JOIN sums USING (r) LEFT JOIN kept k USING (r)
+"""
+
 ORACLE["op13_merkle_manifest"] = _manifest_sql()
