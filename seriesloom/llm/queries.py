@@ -18,6 +18,7 @@ from seriesloom.llm import (
     quality,
     repeats,
     secret_scan,
+    spelling,
     url_filter,
     warc,
 )
@@ -258,6 +259,11 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.prove(manifest.build(_table(spark, sf_dir, "documents"), manifest.tampered_text()))
 
 
+@_query
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_table(spark, sf_dir, "documents"), every=31)
+
+
 @_query
 def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.strip_repeats(_table(spark, sf_dir, "documents"))
@@ -326,6 +332,30 @@ def _manifest_sql(levels: int = 6) -> str:
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM {done}"""
 
 
+ORACLE["op11_spelling_forms"] = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::varchar, '') || ':' || run AS tag, run, count(*) AS n FROM runs WHERE length(run) >= {spelling.LEAST_LETTERS} GROUP BY ALL),
+hashed AS (SELECT run, n, {_CRC_SQL.format("tag")} AS h FROM counted),
+altered AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::bigint AS n FROM altered WHERE length(word) >= {spelling.LEAST_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+holes AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM holes WHERE rest IN (SELECT word FROM v)
+  UNION SELECT rest, word FROM holes WHERE rest IN (SELECT word FROM v)),
+ranked AS (
+  SELECT p.word, p.other, v.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+    row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, encode(p.other)) AS place FROM pairs p JOIN v ON v.word = p.other),
+forms AS (
+  SELECT v.word, v.n, coalesce(r.n_near, 0)::bigint AS n_near, CASE WHEN other_n >= {spelling.RATIO} * v.n THEN other END AS form,
+    CASE WHEN other_n >= {spelling.RATIO} * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN ranked r ON r.word = v.word AND r.place = 1),
+reach(word, root, form) AS (
+  SELECT word, word, form FROM forms UNION ALL SELECT r.word, f.word, f.form FROM reach r JOIN forms f ON f.word = r.form)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN reach r ON r.word = f.word AND r.form IS NULL
+"""
+
 ORACLE["op12_suffix_repeats"] = f"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b, strlen(coalesce(text, ''))::bigint AS n FROM documents),
 windows AS (SELECT r, i, md5(array_slice(b, i + 1, i + {repeats.LENGTH})) AS w FROM (SELECT r, b, unnest(range(n - {repeats.LENGTH - 1})) AS i FROM t)),
