@@ -25,7 +25,7 @@ def _rounded(df, digits=6):
     ),
 )
 def pixel_stats(spark, sf_dir):
-    return _rounded(pixels.pixel_stats(views.pixels(spark, sf_dir)))
+    return _rounded(pixels.with_stats(views.images(spark, sf_dir), "pixels", 8).drop("pixels"))
 
 
 @query(
@@ -37,8 +37,8 @@ def pixel_stats(spark, sf_dir):
     ),
 )
 def pixel_entropy(spark, sf_dir):
-    levels = views.pixels(spark, sf_dir).withColumn("v", F.round("v", 1))
-    return _rounded(pixels.pixel_entropy(levels))
+    levels = F.transform("pixels", lambda v: F.round(v, 1))
+    return _rounded(pixels.with_entropy(views.images(spark, sf_dir), levels).drop("pixels"))
 
 
 # central moments by direct summation around the centroid
@@ -63,7 +63,7 @@ _HU = """SELECT image_id, round(e20 + e02, 9) AS image_moment_0,
 
 @query("pixel_hu_moments", views.oracle(_HU, "v_pixels", central=_CENTRAL.format(sums=_SUMS), eta=_ETA))
 def pixel_hu_moments(spark, sf_dir):
-    return _rounded(pixels.pixel_hu_moments(views.pixels(spark, sf_dir)), 9)
+    return _rounded(pixels.with_hu_moments(views.images(spark, sf_dir), "pixels", 8).drop("pixels"), 9)
 
 
 _CORNER = "SELECT image_id, " + ", ".join(
@@ -73,7 +73,7 @@ _CORNER = "SELECT image_id, " + ", ".join(
 
 @query("pixel_hu_corner", views.oracle(_HU, "v_pixels", eta=_CORNER))
 def pixel_hu_corner(spark, sf_dir):
-    return _rounded(pixels.pixel_hu_moments(views.pixels(spark, sf_dir), of="corner"), 9)
+    return _rounded(pixels.with_hu_moments(views.images(spark, sf_dir), "pixels", 8, of="corner").drop("pixels"), 9)
 
 
 @query(
@@ -87,4 +87,20 @@ def pixel_hu_corner(spark, sf_dir):
     ),
 )
 def pixel_inertia(spark, sf_dir):
-    return _rounded(pixels.pixel_inertia(views.pixels(spark, sf_dir)))
+    return _rounded(pixels.with_inertia(views.images(spark, sf_dir), "pixels", 8).drop("pixels"))
+
+
+@query(
+    "pixel_rows",
+    views.oracle(
+        """SELECT image_id, round(avg(v), 6) AS image_mean, round(stddev_pop(v), 6) AS image_std,
+        round(min(v), 6) AS image_min, round(max(v), 6) AS image_max, round(median(v), 6) AS image_median,
+        round(skewness(v) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)), 6) AS image_skew,
+        round(kurtosis_pop(v), 6) AS image_kurtosis, round(sqrt(avg(v * v)), 6) AS image_rms,
+        cast(8 AS double) AS image_x, cast(8 AS double) AS image_y FROM v_pixels GROUP BY image_id""",
+        "v_pixels",
+    ),
+)
+def pixel_rows(spark, sf_dir):
+    """The same statistics from a table with one row per pixel."""
+    return _rounded(pixels.pixel_stats(views.pixels(spark, sf_dir)))

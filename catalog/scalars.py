@@ -221,7 +221,8 @@ def number_token_fixed(spark, sf_dir):
     )
 
 
-_ASCII = "[a-z0-9_]{2,}"
+# the library's tokens: runs of two or more Unicode word characters
+_WORDS = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}"
 _NEXT = ", ".join(f"lead(a, {n}) OVER o AS a{n}" for n in range(1, 5))
 _GRAMS = " UNION ALL ".join(
     "SELECT doc_id, " + " || ' ' || ".join(["a", *[f"a{n}" for n in range(1, size)]]) + " AS term FROM runs"
@@ -231,7 +232,7 @@ _GRAMS = " UNION ALL ".join(
 
 @query(
     "text_counts",
-    f"""WITH cut AS (SELECT doc_id, regexp_extract_all(lower(text), '{_ASCII}') AS w FROM documents),
+    f"""WITH cut AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM documents),
     words AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM cut),
     runs AS (SELECT doc_id, a, {_NEXT} FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
     grams AS ({_GRAMS}),
@@ -240,7 +241,4 @@ _GRAMS = " UNION ALL ".join(
     WHERE n_rows >= 0.01 * (SELECT count(*) FROM documents)""",
 )
 def count_text(spark, sf_dir):
-    def ascii_tokens(column):
-        return F.regexp_extract_all(F.lower(F.col(column)), F.lit(_ASCII), 0)
-
-    return text_counts(views.table(spark, sf_dir, "documents"), ["text"], tokens=ascii_tokens)
+    return text_counts(views.table(spark, sf_dir, "documents"), ["text"])

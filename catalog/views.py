@@ -144,9 +144,14 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, pixels): the vectors as 8 × 8 images of non-negative values."""
     values = F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("pixels")
-    return explode_pixels(table(spark, sf_dir, "embeddings").select("vec_id", values), "vec_id", "pixels", 8)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), values)
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_pixels(images(spark, sf_dir), "image_id", "pixels", 8)
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:

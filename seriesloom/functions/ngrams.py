@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seriesloom.functions import as_column
+from seriesloom.functions import as_column, let
 
 # Fixed value: a token is a run of two or more word characters (Unicode).
 WORD = r"(?U)\b\w\w+\b"
@@ -18,11 +18,6 @@ def word_tokens(value: Column | str, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(as_column(value), F.lit(""))), F.lit(pattern), 0)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value computed once; an expression used inside a lambda would run per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def word_ngrams(tokens: Column | str, longest: int = 5, prefix: str = "") -> Column:
     """Distinct n-grams of 1 to ``longest`` words, words joined by one space, behind a fixed ``prefix``.
 
@@ -42,10 +37,31 @@ def word_ngrams(tokens: Column | str, longest: int = 5, prefix: str = "") -> Col
                 lambda gram, word: F.concat(gram, F.lit(" "), word),
             )
             # header cells are short: stop where no longer n-gram exists
-            return F.when(count <= 0, done).otherwise(_let(grams, lambda longer: extend([*found, longer])))
+            return F.when(count <= 0, done).otherwise(let(grams, lambda longer: extend([*found, longer])))
 
         if not prefix:
             return extend([words])
-        return _let(F.transform(words, lambda word: F.concat(F.lit(prefix), word)), lambda w: extend([w]))
+        return let(F.transform(words, lambda word: F.concat(F.lit(prefix), word)), lambda w: extend([w]))
+
+    return let(as_column(tokens), all_grams)
+
+
+def placed_words(tokens: Column | str) -> Column:
+    """Words with their places: the 1-grams that ``longer_ngrams`` starts from."""
+    return F.transform(as_column(tokens), lambda word, at: F.struct(at.alias("at"), word.alias("gram")))
+
+
+def longer_ngrams(grams: Column | str, frequent: Callable[[Column], Column]) -> Column:
+    """From some n-grams of a text (structs of place and gram, by place) the (n+1)-grams both of whose n-grams are ``frequent``."""
+
+    def extend(kept: Column) -> Column:
+        count = F.greatest(F.size(kept) - 1, F.lit(0))
+
+        def joined(a: Column, b: Column) -> Column:
+            word = F.substring_index(b["gram"], " ", -1)
+            longer = F.struct(a["at"].alias("at"), F.concat(a["gram"], F.lit(" "), word).alias("gram"))
+            return F.when(b["at"] == a["at"] + 1, longer)
+
+        return F.zip_with(F.slice(kept, F.lit(1), count), F.slice(kept, F.lit(2), count), joined)
 
-    return _let(as_column(tokens), all_grams)
+    return F.array_compact(let(F.filter(as_column(grams), lambda x: frequent(x["gram"])), extend))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions import let
 from seriesloom.functions.numbers import parse_number
 from seriesloom.roles import MISSING, SEGMENTATION_SOP_CLASS, STANDARD, Roles
 
@@ -147,31 +148,46 @@ def filter_max_bvalue(
     """Keep, per series, the rows at its largest b-value; then likewise for the vendor's own column.
 
     A series with an unparsable b-value is left whole. The vendor is read off the first remaining row
-    by ``order`` (without one: the smallest manufacturer name). The passes run on the distinct
-    combinations of b-values, which are few per series, so a series with very many rows is reduced
-    before any shuffle; the rows themselves are only filtered once.
+    by ``order`` (without one: the smallest manufacturer name). A series is reduced to its distinct
+    combinations of b-values before any shuffle; they meet in one array, in which all passes run, and
+    the rows are filtered once by what is left. So the table is read twice, whatever the number of vendors.
     """
     vendors = vendors or {"siemens": "diffusion_bvalue_siemens", "ge med": "diffusion_bvalue_ge"}
     values = [base, *vendors.values()]
     parts = [*keys, *values, manufacturer]
     first = F.min(F.col(order) if order else F.col(manufacturer)).alias("_first")
-    combos = df.groupBy(*parts).agg(first)
-
-    for vendor, column in [(None, base), *vendors.items()]:
-        text = F.col(column)
-        number = F.when(text == MISSING, F.lit(-1.0)).otherwise(parse_number(text))
-        per_series = combos.groupBy(*keys).agg(
-            F.max(number).alias("_top"),
-            F.max(number.isNull()).alias("_bad"),
-            F.min_by(F.col(manufacturer), F.col("_first")).alias("_maker"),
-        )
-        applies = ~F.col("_bad")
-        if vendor is not None:
-            applies = applies & F.coalesce(F.lower(F.col("_maker")).contains(vendor), F.lit(False))
-        joined = null_safe_join(combos, per_series, keys)
-        combos = joined.filter(~applies | (number == F.col("_top"))).select(*parts, "_first")
-
-    return null_safe_join(df, combos.select(*parts), parts, "left_semi")
+    cells = [F.col(c).alias(f"value{i}") for i, c in enumerate(values)]
+    combos = F.collect_list(F.struct(*cells, F.col(manufacturer).alias("maker"), F.col("_first").alias("first")))
+    left = combos.alias("_left")
+    per_series = df.groupBy(*parts).agg(first).groupBy(*keys).agg(left)
+    for i, vendor in enumerate([None, *vendors]):
+        per_series = per_series.withColumn("_left", _at_largest(F.col("_left"), f"value{i}", vendor))
+    kept = per_series.select(*keys, F.explode("_left").alias("_kept"))
+    kept = kept.select(*keys, *[F.col(f"_kept.value{i}").alias(c) for i, c in enumerate(values)], F.col("_kept.maker").alias(manufacturer))
+    return null_safe_join(df, kept, parts, "left_semi")
+
+
+def _at_largest(combos: Column, value: str, vendor: str | None) -> Column:
+    """The combinations at the largest number of ``value``; all of them if one is unreadable or another vendor's."""
+
+    def number(combo: Column) -> Column:
+        return F.when(combo[value] == MISSING, F.lit(-1.0)).otherwise(parse_number(combo[value]))
+
+    numbered = F.transform(combos, lambda c: F.struct(c.alias("combo"), number(c).alias("number")))
+    known = F.filter(combos, lambda c: c["first"].isNotNull())
+    maker = F.array_min(F.transform(known, lambda c: F.struct(c["first"], c["maker"])))["maker"]
+    ours = F.lit(True) if vendor is None else F.coalesce(F.lower(maker).contains(vendor), F.lit(False))
+    state = F.struct(
+        numbered.alias("numbered"),
+        F.array_max(F.transform(numbered, lambda x: x["number"])).alias("top"),
+        (ours & ~F.exists(numbered, lambda x: x["number"].isNull())).alias("applies"),
+    )
+
+    def chosen(s: Column) -> Column:
+        at_top = F.filter(s["numbered"], lambda x: ~s["applies"] | (x["number"] == s["top"]))
+        return F.transform(at_top, lambda x: x["combo"])
+
+    return let(state, chosen)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.ngrams import word_ngrams, word_tokens
+from seriesloom.functions.ngrams import longer_ngrams, placed_words, word_ngrams, word_tokens
 from seriesloom.functions.numbers import FEATURES, token_features
 from seriesloom.roles import Roles
+from seriesloom.session import materialise
 
 LONGEST_NGRAM = 5
 MIN_SHARE = 0.01
@@ -28,7 +32,9 @@ def text_counts(
 ) -> DataFrame:
     """(column, term, n_rows): word n-grams found in at least ``min_share`` of the rows.
 
-    Header text repeats a lot, so equal texts are counted first and only distinct ones are split.
+    Header text repeats a lot, so equal texts are counted first and only distinct ones are split. Longer
+    n-grams are mined level by level: an (n+1)-gram of a text is counted only if both of its n-grams are
+    frequent, which most n-grams of a large table are not.
     """
     cells = F.explode(
         F.array(
@@ -39,10 +45,56 @@ def text_counts(
         )
     )
     texts = df.select(cells.alias("cell")).groupBy("cell.column", "cell.text").agg(F.count(F.lit(1)).alias("n"))
-    grams = texts.select("column", "n", F.explode(word_ngrams(tokens("text"), longest)).alias("term"))
-    counts = grams.groupBy("column", "term").agg(F.sum("n").alias("n_rows"))
-    n_all = df.agg((F.lit(float(min_share)) * F.count(F.lit(1))).alias("n"))
-    return counts.filter(F.col("n_rows") >= n_all.scalar())
+    texts = materialise(texts, "texts")
+    least = F.lit(min_share * df.count())
+    state, found = texts.select("column", "n", placed_words(tokens("text")).alias("grams")), []
+    while True:
+        frequent = materialise(count_grams(state).where(F.col("n_rows") >= least), "terms")
+        found.append(frequent)
+        marks = _frequent_marks(frequent) if len(found) < longest else None
+        if marks is None:
+            return reduce(DataFrame.union, found)
+        state = extend_grams(state, marks)
+        if len(found) == 1:  # the words are read and cut once; what is left of them is small
+            state = materialise(state, "grams")
+
+
+def count_grams(state: DataFrame) -> DataFrame:
+    """(column, term, n_rows) of all n-grams in (column, n, grams), n being the rows that hold the text."""
+    grams = state.select("column", "n", F.explode(F.array_distinct("grams.gram")).alias("term"))
+    return grams.groupBy("column", "term").agg(F.sum("n").alias("n_rows"))
+
+
+def extend_grams(state: DataFrame, marks: DataFrame) -> DataFrame:
+    """The texts with the (n+1)-grams whose n-grams are marked in ``marks`` (one row, see ``_frequent_marks``)."""
+
+    def frequent(gram: Column) -> Column:
+        return F.get(F.col("_marks"), _mark_of(F.col("column"), gram))
+
+    longer = longer_ngrams("grams", frequent).alias("grams")
+    return state.withColumn("_marks", marks.scalar()).select("column", "n", longer)
+
+
+MARKS = 1 << 20
+
+
+def _mark_of(column: Column, gram: Column) -> Column:
+    return F.pmod(F.hash(column, gram), F.lit(MARKS))
+
+
+def _frequent_marks(terms: DataFrame) -> DataFrame | None:
+    """One row with an array of MARKS flags, set where a term's hash points; None without terms.
+
+    Its size does not depend on the table. Terms that share a place are counted in vain and fall to the
+    exact count.
+    """
+    found = terms.select(_mark_of(F.col("column"), F.col("term")).alias("mark")).distinct().collect()
+    if not found:
+        return None
+    marks = np.zeros(MARKS, bool)
+    marks[[row.mark for row in found]] = True
+    row = pa.table({"marks": pa.ListArray.from_arrays(pa.array([0, MARKS], pa.int32()), pa.array(marks))})
+    return terms.sparkSession.createDataFrame(row)
 
 
 GRAMS, NUMBERS, MISSING_COUNT = "_grams", "_numbers", "_missing"
