@@ -201,18 +201,29 @@ def filter_by_ids_complement(spark, sf_dir):
 
 
 @query(
-    "variance_filter",
+    "feature_variances",
     """SELECT feature, round(variance, 4) AS variance, variance > 0 AS kept FROM (
     SELECT 'l_quantity' AS feature, var_pop(l_quantity) AS variance FROM lineitem
     UNION ALL SELECT 'l_discount', var_pop(l_discount) FROM lineitem
     UNION ALL SELECT 'constant', 0.0)""",
 )
-def variance_filter(spark, sf_dir):
+def feature_variances(spark, sf_dir):
     df = views.table(spark, sf_dir, "lineitem").withColumn("constant", F.lit(7))
     out = clean.feature_variances(df, ["l_quantity", "l_discount", "constant"])
     return out.withColumn("variance", F.round("variance", 4))
 
 
+@query(
+    "variance_filter",
+    "SELECT l_orderkey, l_linenumber, 7 AS other_constant, l_quantity, l_discount FROM lineitem",
+)
+def variance_filter(spark, sf_dir):
+    """The rows without the columns that never vary; one that is not asked about stays."""
+    df = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(7).alias("other_constant"), "l_quantity", "l_discount")
+    flat = {"constant": F.lit(7), "unknown": F.lit(None).cast("double"), "nan_only": F.lit(float("nan"))}
+    return clean.variance_filter(df.withColumns(flat), ["l_quantity", "l_discount", *flat])
+
+
 @query(
     "merge_target",
     "SELECT d.doc_id, lang, source, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id",

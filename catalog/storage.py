@@ -8,8 +8,10 @@ from catalog import views
 from catalog.groups import _PAIRS, DISPLAY, summarise_sql
 from catalog.registry import query
 from catalog.rows import sanitize_sql
+from catalog.scalars import strip_sql
 from seriesloom.operators import metrics
 from seriesloom.operators.clean import with_validity
+from seriesloom.plans import metadata
 from seriesloom.plans.extract import write_features
 from seriesloom.plans.train import load_training_table
 from seriesloom.roles import HEADER_TAGS
@@ -114,10 +116,18 @@ def scan_group_map(spark, sf_dir):
     return nested_json.scan_group_map(spark, path, whole_file=False)
 
 
-@query("scan_series_inventory")
+_PARTS = "string_split(url, '/')"
+
+
+@query(
+    "scan_series_inventory",
+    f"""SELECT *, count(*) OVER (PARTITION BY study_uid, series_uid) AS number_of_images FROM (
+    SELECT CASE WHEN len(p) >= 3 THEN p[len(p) - 2] END AS study_uid, CASE WHEN len(p) >= 2 THEN p[len(p) - 1] END AS series_uid,
+      p[len(p)] AS file_name, url AS file_path, page_id FROM (SELECT page_id, url, {_PARTS} AS p FROM pages))""",
+)
 def scan_series_inventory(spark, sf_dir):
-    files = inventory.scan_series_inventory(spark, sf_dir, "*.parquet")
-    return files.drop("file_path")
+    """The inventory of a listing that is a table: the paths of all pages."""
+    return inventory.series_inventory(views.table(spark, sf_dir, "pages").select("page_id", "url"), "url", ["page_id"])
 
 
 def _flat_sql(given: dict[str, str]) -> str:
@@ -152,6 +162,83 @@ def flatten_tags_archive(spark, sf_dir):
     return tags.flatten_tags_archive(documents, keep=("instance_id",))
 
 
+# broken documents among whole ones: no document, no JSON, no object, no ids, an empty id, one odd value
+_BROKEN = """SELECT instance_id, CASE WHEN instance_id % 19 = 0 THEN NULL WHEN instance_id % 23 = 0 THEN 'not json'
+      WHEN instance_id % 29 = 0 THEN '[1, 2]' WHEN instance_id % 31 = 0 THEN '{{}}'
+      WHEN instance_id % 37 = 0 THEN '{{"0020000D":{{"Value":["x"]}},"0020000E":{{"Value":[" "]}}}}'
+      WHEN instance_id % 41 = 0 THEN replace(tags, '"00180082":{{"vr":"DS"}}', '"00180082":"odd"') ELSE tags END AS tags FROM {tags}"""
+
+
+@query(
+    "rejected_tags",
+    views.oracle(
+        """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN instance_id % 19 = 0 THEN 'no document'
+          WHEN instance_id % 23 = 0 OR instance_id % 29 = 0 THEN 'not a tag document'
+          WHEN instance_id % 31 = 0 THEN 'no study_uid' WHEN instance_id % 37 = 0 THEN 'no series_uid' ELSE 'accepted' END AS reason
+        FROM v_instances) GROUP BY reason""",
+        "v_instances",
+    ),
+)
+def rejected_tags(spark, sf_dir):
+    """How many documents are taken, and how many are left out for which reason."""
+    documents = spark.sql(_BROKEN, tags=views.tags(spark, sf_dir))
+    rejected = tags.rejected_tags(documents, keep=("instance_id",)).select("reason")
+    accepted = tags.flatten_tags_web(documents, keep=("instance_id",)).select(F.lit("accepted").alias("reason"))
+    return rejected.union(accepted).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _top(number: str, source: str, applies: str) -> str:
+    keys = "PARTITION BY study_uid, series_uid"
+    return f"""SELECT * EXCLUDE (applies, top) FROM (SELECT *, {applies} AS applies, max({number}) OVER ({keys}) AS top FROM {source})
+        WHERE NOT applies OR {number} = top"""
+
+
+_MAKER = "lower(first_value(manufacturer) OVER (PARTITION BY study_uid, series_uid ORDER BY instance_id))"
+_METADATA = ("instance_id", "manufacturer", "diffusion_bvalue", "diffusion_bvalue_ge", "diffusion_bvalue_siemens", "series_description")
+
+
+@query(
+    "metadata_documents",
+    views.oracle(
+        """SELECT patient_id, study_uid, series_uid, manufacturer, diffusion_bvalue, diffusion_bvalue_ge, diffusion_bvalue_siemens,
+          series_description, cast(instance_id AS varchar) AS instance_id,
+          row_number() OVER (PARTITION BY patient_id, study_uid, series_uid ORDER BY instance_id) - 1 AS place FROM third""",
+        "v_instances",
+        images=rf"""SELECT instance_id, concat('P', right(study_uid, 1)) AS patient_id, study_uid, series_uid, manufacturer, diffusion_bvalue,
+            CASE WHEN length(diffusion_bvalue_ge) > 5 THEN ltrim(right(diffusion_bvalue_ge, 4), '0') ELSE diffusion_bvalue_ge END AS diffusion_bvalue_ge,
+            CASE instance_id % 3 WHEN 0 THEN cast(instance_id % 200 AS varchar) ELSE diffusion_bvalue_siemens END AS diffusion_bvalue_siemens,
+            {strip_sql("series_description")} AS series_description
+          FROM v_instances WHERE sop_class <> '1.2.840.10008.5.1.4.1.1.66.4'""",
+        first=_top("CASE WHEN diffusion_bvalue = '-' THEN -1 ELSE cast(diffusion_bvalue AS double) END", "images", "true"),
+        second=_top(
+            "CASE WHEN diffusion_bvalue_siemens = '-' THEN -1 ELSE cast(diffusion_bvalue_siemens AS double) END",
+            "first",
+            f"{_MAKER} LIKE '%siemens%'",
+        ),
+        third=_top(
+            "CASE WHEN diffusion_bvalue_ge = '-' THEN -1 ELSE try_cast(diffusion_bvalue_ge AS double) END",
+            "second",
+            f"""{_MAKER} LIKE '%ge med%' AND NOT bool_or(diffusion_bvalue_ge <> '-' AND try_cast(diffusion_bvalue_ge AS double) IS NULL)
+                OVER (PARTITION BY study_uid, series_uid)""",
+        ),
+    ),
+)
+def metadata_documents(spark, sf_dir):
+    """Tag documents to metadata documents, written and read back with every row's place in its series."""
+    number = F.col("instance_id")
+    # big-endian bytes of a small number, of one beyond any b-value, or none
+    credible = F.unhex(F.lpad(F.hex(number % 200), 4, "0"))
+    raw = F.when(number % 3 == 0, credible).when(number % 3 == 1, F.unhex(F.lit("FFFFFF")))
+    documents = views.vendor_tags(spark, sf_dir).withColumn("bytes", raw)
+    patient = F.concat(F.lit("P"), F.right("study_uid", F.lit(1)))
+    out = metadata.metadata_documents(
+        documents, "instance_id", patient=patient, raw={"diffusion_bvalue_siemens": "bytes"}, features=_METADATA, instances_per_document=20
+    )
+    path = scratch_path(spark, "metadata") + ".json"
+    nested_json.write_documents(out, path)
+    return nested_json.scan_nested_json(spark, path, _METADATA, position="place")
+
+
 @query(
     "assemble_study",
     views.oracle(
@@ -168,6 +255,7 @@ def assemble_study(spark, sf_dir):
     )
 
 
+_TYPED = ("image_type", "series_description", "manufacturer", "diffusion_bvalue", "diffusion_bvalue_ge", "diffusion_bvalue_siemens", "echo_time", "sop_class", "valid")
 _FOLDED = [c for c in _TEXT if c not in ("number_of_images", "instance_id")]
 
 
@@ -194,6 +282,22 @@ def read_any(spark, sf_dir):
     return tables.read_any(spark, paths, mapping=["instance_id:sop_uid"])
 
 
+@query(
+    "read_any_typed",
+    views.oracle(
+        summarise_sql(
+            ("study_uid", "series_uid", "patient_id"), _TYPED, "v_instances", "round(avg(image_mean), 9) AS image_mean"
+        ),
+        "v_instances",
+    ),
+)
+def read_any_typed(spark, sf_dir):
+    """Parquet tables only: cells keep their types, so image features and counts are numbers from the start."""
+    rows = views.instances(spark, sf_dir)
+    paths = [_round_trip(spark, rows.filter(part).drop("instance_id"), ".parquet") for part in ("instance_id % 2 = 0", "instance_id % 2 = 1")]
+    return tables.read_any(spark, paths).withColumn("image_mean", F.round("image_mean", 9))
+
+
 @query(
     "sink_metrics",
     views.oracle(

@@ -86,6 +86,15 @@ SELECT instance_id, study_uid, series_uid,
 FROM {v_instances}
 """
 
+VENDOR_TAGS = """
+SELECT instance_id,
+  concat('{{"0020000D":{{"vr":"UI","Value":["', study_uid, '"]}},"0020000E":{{"vr":"UI","Value":["', series_uid,
+         '"]}},"0008103E":{{"Value":["', series_description, '"]}},"00080070":{{"Value":["', manufacturer,
+         '"]}},"00080016":{{"Value":["', sop_class, '"]}},"00189087":{{"Value":["', diffusion_bvalue,
+         '"]}},"00431039":{{"Value":["', diffusion_bvalue_ge, '"]}},"0019100C":{{"Value":["', diffusion_bvalue_siemens, '"]}}}}') AS tags
+FROM {v_instances}
+"""
+
 ARCHIVE_TAGS = r"""
 SELECT instance_id, study_uid, series_uid,
   concat('{{"0020,000d":{{"Name":"a","Type":"String","Value":"', study_uid, '"}},"0020,000E":{{"Value":"', series_uid,
@@ -158,6 +167,11 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, TAGS, v_instances=instances(spark, sf_dir))
 
 
+def vendor_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag documents with the maker and every b-value."""
+    return _view(spark, VENDOR_TAGS, v_instances=instances(spark, sf_dir))
+
+
 def archive_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, ARCHIVE_TAGS, v_instances=instances(spark, sf_dir))
 

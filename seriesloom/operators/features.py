@@ -97,7 +97,7 @@ def _frequent_marks(terms: DataFrame) -> DataFrame | None:
     return terms.sparkSession.createDataFrame(row)
 
 
-GRAMS, NUMBERS, MISSING_COUNT = "_grams", "_numbers", "_missing"
+GRAMS, COUNTS, NUMBERS, MISSING_COUNT = "_grams", "_counts", "_numbers", "_missing"
 
 
 def number_names(roles: Roles) -> list[str]:
@@ -176,9 +176,9 @@ class FeaturePlan:
         if not self.vocabulary:
             return [size, VectorAssembler(inputCols=[NUMBERS], outputCol=output, handleInvalid="keep")]
         counter = CountVectorizerModel.from_vocabulary(
-            self.vocabulary, inputCol=GRAMS, outputCol="_counts", binary=True
+            self.vocabulary, inputCol=GRAMS, outputCol=COUNTS, binary=True
         )
-        joined = VectorAssembler(inputCols=["_counts", NUMBERS], outputCol=output, handleInvalid="keep")
+        joined = VectorAssembler(inputCols=[COUNTS, NUMBERS], outputCol=output, handleInvalid="keep")
         return [counter, size, joined]
 
 
@@ -205,4 +205,4 @@ def assemble_features(df: DataFrame, roles: Roles, min_share: float = MIN_SHARE)
     """Table with a ``features`` vector, and the plan that names its entries."""
     plan = fit_features(df, roles, min_share)
     out = PipelineModel(stages=plan.stages()).transform(split_columns(df, plan.roles))
-    return out.drop(GRAMS, NUMBERS, MISSING_COUNT, "_counts"), plan
+    return out.drop(GRAMS, NUMBERS, MISSING_COUNT, COUNTS), plan

@@ -13,7 +13,7 @@ from seriesloom.roles import MISSING
 from seriesloom.session import materialise
 
 KEYS = ("patient_id", "study_uid", "series_uid")
-PART, FIRST = "#part", "#first"  # of a document's series: its part number, and its first row's place in the series
+PLACE = "#at"  # beside the features: the places of a document's rows in their series, a list like any other
 _DOCUMENT = "map<string,map<string,map<string,map<string,string>>>>"
 
 
@@ -33,19 +33,27 @@ def scan_nested_json(
 
 
 def explode_documents(
-    df: DataFrame, json: str | Column, features: Sequence[str] | None = None, position: str | None = None
+    df: DataFrame,
+    json: str | Column,
+    features: Sequence[str] | None = None,
+    position: str | None = None,
+    unreadable: str = "error",
 ) -> DataFrame:
     """Documents → one row per instance; the n-th row takes the n-th value of every feature.
 
     Shorter lists end in NULL; a scalar holds for every row of its series, and a series of scalars only is
-    one row. Text that is no such document is an error, blank text is none. Without ``features`` the names
+    one row. Blank text is no document. Text that is no such document is an error, or with
+    ``unreadable="drop"`` left out (``rejected_documents`` has it then). Without ``features`` the names
     are first gathered with one pass over the documents. ``position`` names a column for a row's place in
-    its series over all parts of the series (see ``to_documents``).
+    its series over all documents of the series (see ``to_documents``).
     """
+    if unreadable not in ("error", "drop"):
+        raise ValueError(f"unreadable must be 'error' or 'drop', not {unreadable!r}")
     text = F.col(json) if isinstance(json, str) else json
-    unreadable = F.raise_error(F.concat(F.lit("not a nested document of one line or file: "), F.substring(text, 1, 200)))
-    read = F.from_json(text, _DOCUMENT)
-    document = F.when(read.isNull() & (F.trim(text) != ""), unreadable.cast(_DOCUMENT)).otherwise(read)
+    document = F.from_json(text, _DOCUMENT)
+    if unreadable == "error":
+        message = F.concat(F.lit("not a nested document of one line or file: "), F.substring(text, 1, 200))
+        document = F.when(_unreadable(text), F.raise_error(message).cast(_DOCUMENT)).otherwise(document)
     series = (
         df.select(F.explode(document).alias("patient_id", "studies"))
         .select("patient_id", F.explode("studies").alias("study_uid", "series"))
@@ -54,7 +62,7 @@ def explode_documents(
     if features is None:
         names = series.select(F.explode(F.map_keys("cells")).alias("name")).distinct()
         features = sorted(row.name for row in names.collect())
-    features = [f for f in features if f not in (*KEYS, PART, FIRST)]
+    features = [f for f in features if f not in (*KEYS, PLACE)]
     raw = {f: F.element_at("cells", f) for f in features}
     lists = {
         f: F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>"))
@@ -62,7 +70,7 @@ def explode_documents(
     }
     parsed = series.select(
         *KEYS,
-        F.coalesce(F.element_at("cells", FIRST).cast("long"), F.lit(0)).alias(FIRST),
+        F.from_json(F.element_at("cells", PLACE), "array<bigint>").alias(PLACE),
         *[F.struct(lists[f].alias("list"), raw[f].alias("text")).alias(f"_{f}") for f in features],
     )
     longest = F.greatest(*[F.coalesce(F.size(f"_{f}.list"), F.lit(0)) for f in features], F.lit(0))
@@ -70,16 +78,26 @@ def explode_documents(
     no_text = F.coalesce(*[F.col(f"_{f}.text") for f in features]).isNull() if features else F.lit(True)
     count = F.when(no_list & ~no_text, 1).otherwise(longest)
     counted = parsed.withColumn("#n", count).filter(F.col("#n") > 0)
-    rows = counted.withColumn("#at", F.explode(F.sequence(F.lit(0), F.col("#n") - 1)))
+    rows = counted.withColumn("#row", F.explode(F.sequence(F.lit(0), F.col("#n") - 1)))
 
     def value_of(feature: str) -> Column:
         cell = F.col(f"_{feature}")
-        return F.when(cell["list"].isNotNull(), F.get(cell["list"], F.col("#at"))).otherwise(cell["text"])
+        return F.when(cell["list"].isNotNull(), F.get(cell["list"], F.col("#row"))).otherwise(cell["text"])
 
-    place = [] if position is None else [(F.col(FIRST) + F.col("#at")).alias(position)]
+    place = [] if position is None else [F.coalesce(F.get(PLACE, F.col("#row")), F.col("#row").cast("long")).alias(position)]
     return rows.select(*KEYS, *[value_of(f).alias(f) for f in features], *place)
 
 
+def _unreadable(text: Column) -> Column:
+    return F.from_json(text, _DOCUMENT).isNull() & (F.trim(text) != "")
+
+
+def rejected_documents(df: DataFrame, json: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep…, text, reason) of the rows that hold no document."""
+    reason = F.when(F.trim(json).startswith("{"), "not patient, study, series and features").otherwise("not an object")
+    return df.where(_unreadable(F.col(json))).select(*keep, F.col(json).alias("text"), reason.alias("reason"))
+
+
 def to_documents(
     df: DataFrame,
     features: Sequence[str],
@@ -90,10 +108,10 @@ def to_documents(
     """Rows → (document) JSON, the rows of a series in ``order``.
 
     A series of n rows is ceil(n / ``instances_per_document``) documents, so that none has to fit one task.
-    Part k holds the rows that follow those of part k - 1; beside the features every document has, at all
-    sizes, its part number (#part, from 0) and the place of its first row in the series (#first). Joining
-    the lists of a series by #part gives the whole series in order; ``scan_nested_json`` gives every row
-    back, with its place on demand. NULL is written as JSON null, a NULL key as the missing mark.
+    Every document holds lists only, one per feature and one, ``#at``, with the places of its rows in the
+    series from 0. A reader that appends the lists of a series' documents, whatever their order, thus has
+    the whole series with every value beside its place; ``scan_nested_json`` gives the place on demand.
+    NULL is written as JSON null, a NULL key as the missing mark.
     """
     # a series lies over neighbouring ranges; written, as a second run would sample other ranges
     ranged = df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
@@ -114,12 +132,8 @@ def to_documents(
     grouped = placed.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(cells)).alias("_rows"))
     # JSON has no null key
     patient, study, series = (F.coalesce(F.col(k).cast("string"), F.lit(MISSING)) for k in keys)
-    # feature lists and the two numbers are of different types, so the cells are a struct
-    content = F.struct(
-        F.col("_chunk").alias(PART),
-        F.get("_rows", F.lit(0))["_rank"].alias(FIRST),
-        *[F.col("_rows")[f].alias(f) for f in features],
-    )
+    # places are numbers and features are text, so the cells are a struct
+    content = F.struct(F.col("_rows")["_rank"].alias(PLACE), *[F.col("_rows")[f].alias(f) for f in features])
     nested = F.create_map(patient, F.create_map(study, F.create_map(series, content)))
     return grouped.select(F.to_json(nested, {"ignoreNullFields": "false"}).alias("document"))
 

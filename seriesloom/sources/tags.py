@@ -10,33 +10,80 @@ from pyspark.sql import functions as F
 from seriesloom.functions.bvalues import first_given
 from seriesloom.functions.text import join_backslashes, join_list, strip_datetimes
 from seriesloom.operators.summarise import count_instances
-from seriesloom.roles import HEADER_TAGS
+from seriesloom.roles import HEADER_TAGS, MISSING
 
 
 def flatten_tags_web(
-    df: DataFrame, json: str = "tags", tags: Mapping[str, str] = HEADER_TAGS, keep: tuple[str, ...] = ()
+    df: DataFrame,
+    json: str = "tags",
+    tags: Mapping[str, str] = HEADER_TAGS,
+    keep: tuple[str, ...] = (),
+    fault: str | None = None,
 ) -> DataFrame:
     """``{"00180081": {"vr": …, "Value": […]}}`` → one text column per tag, absent tags marked.
 
-    Only the listed tags are parsed out of the document.
+    Only the listed tags are parsed out of the document. ``fault`` names a column that tells why a document
+    is none (NULL where it is one); without it such documents are left out, see ``rejected_tags``.
     """
     keys = {name: tag.replace(",", "") for name, tag in tags.items()}
     schema = ", ".join(f"`{key}` struct<Value: array<string>>" for key in keys.values())
-    parsed = df.select(*keep, F.from_json(json, schema).alias("_tags"))
-    return parsed.select(*keep, *[join_list(F.col("_tags")[key]["Value"]).alias(n) for n, key in keys.items()])
+    read = F.from_json(json, f"{schema}, `{_UNREAD}` string", {"columnNameOfCorruptRecord": _UNREAD})
+    parsed = df.select(*keep, F.col(json).isNull().alias("_absent"), read.alias("_tags"))
+    flat = {n: join_list(F.col("_tags")[key]["Value"]) for n, key in keys.items()}
+    unread = F.col("_tags").isNull() | F.col("_tags")[_UNREAD].isNotNull()
+    return _judged(parsed, unread, flat, keep, fault)
 
 
 def flatten_tags_archive(
-    df: DataFrame, json: str = "tags", tags: Mapping[str, str] = HEADER_TAGS, keep: tuple[str, ...] = ()
+    df: DataFrame,
+    json: str = "tags",
+    tags: Mapping[str, str] = HEADER_TAGS,
+    keep: tuple[str, ...] = (),
+    fault: str | None = None,
 ) -> DataFrame:
-    """``{"0018,0081": {"Value": "1\\\\2"}}`` → one text column per tag; hex digits in either case."""
-    parsed = df.select(*keep, F.from_json(json, "map<string,struct<Value:string>>").alias("_tags"))
+    """``{"0018,0081": {"Value": "1\\\\2"}}`` → one text column per tag; hex digits in either case.
+
+    ``fault`` is that of ``flatten_tags_web``.
+    """
+    read = F.from_json(json, "map<string,struct<Value:string>>").alias("_tags")
+    parsed = df.select(*keep, F.col(json).isNull().alias("_absent"), read)
 
     def cell(tag: str) -> Column:
         spellings = dict.fromkeys((tag.upper(), tag.lower()))
         return F.coalesce(*[F.element_at("_tags", key)["Value"] for key in spellings])
 
-    return parsed.select(*keep, *[join_backslashes(cell(tag)).alias(n) for n, tag in tags.items()])
+    flat = {n: join_backslashes(cell(tag)) for n, tag in tags.items()}
+    return _judged(parsed, F.col("_tags").isNull(), flat, keep, fault)
+
+
+_UNREAD = "#unread"
+# what a row needs to have a place in a study
+IDENTITY = ("study_uid", "series_uid")
+
+
+def _judged(parsed: DataFrame, unread: Column, flat: Mapping[str, Column], keep: tuple[str, ...], fault: str | None) -> DataFrame:
+    """The flattened rows of documents that have the ids of their study and series, or all with what is wrong."""
+    without = [n for n in IDENTITY if n in flat]
+    missing = {n: F.trim(flat[n]).isin("", MISSING) for n in without}
+    nowhere = F.lit(False)
+    for test in missing.values():
+        nowhere = nowhere | test
+    # a document with one odd value still has its ids
+    reason = F.when(F.col("_absent"), "no document").when(unread & nowhere, "not a tag document")
+    for name, test in missing.items():
+        reason = reason.when(test, f"no {name}")
+    columns = [value.alias(n) for n, value in flat.items()]
+    if fault is not None:
+        return parsed.select(*keep, *columns, reason.alias(fault))
+    rows = parsed.select(*keep, *columns, reason.alias(_UNREAD))
+    return rows.where(F.col(_UNREAD).isNull()).drop(_UNREAD)
+
+
+def rejected_tags(df: DataFrame, json: str = "tags", form: str = "web", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep…, reason) of the documents that the flattening leaves out."""
+    flatten = {"web": flatten_tags_web, "archive": flatten_tags_archive}[form]
+    ids = {name: HEADER_TAGS[name] for name in IDENTITY}
+    return flatten(df, json, ids, keep, "reason").where(F.col("reason").isNotNull()).select(*keep, "reason")
 
 
 # Value processors by column, applied after flattening; callers may add their own.
