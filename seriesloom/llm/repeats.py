@@ -381,7 +381,7 @@ def _ranges(parts: DataFrame, cells: tuple[int, ...]) -> DataFrame:
         F.sum("times").alias("times"), F.any_value("lead").alias("lead"), F.any_value("data").alias("data")
     )
     merged = stored(merged.withColumnsRenamed({"part_anchor": "anchor", "part_content": "content"}), "parts")
-    kinds = merged.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = stored(merged.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
     deeper = _ranges(merged.join(kinds, "anchor"), cells[1:])
     deeper = deeper.withColumnsRenamed({"anchor": "part_anchor", "content": "part_content"})
     moved = F.transform(
@@ -417,18 +417,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         F.sum("times").alias("total"), F.min("content").alias("least"), F.max("content").alias("most")
     )
     anchors_ = anchors_.where("total > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed"))
-    shared = stored(own.join(anchors_, "anchor"), "shared")
+    # as a table of its own, so that the join with a very common anchor can be split
+    shared = stored(own.join(stored(anchors_, "anchors"), "anchor"), "shared")
     mixed = shared.where("mixed")
     different = mixed.groupBy("anchor", "content").agg(
         F.sum("times").alias("times"),
         *[F.any_value(c).alias(c) for c in ("k1", "k2", "start", "windows", "lead")],
     )
     different = stored(different, "different")
-    kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = stored(different.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
     wanted = different.join(kinds, "anchor").groupBy("k1", "k2").agg(
         F.collect_list(F.struct("start", "windows", "anchor", "content", "times", "kinds", "lead")).alias("wanted")
     )
-    parts = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_fetch_batches, _PART)
+    parts = texts.join(stored(wanted, "wanted"), ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_fetch_batches, _PART)
     found = _ranges(stored(parts, "parts"), CELLS).select("anchor", "content", F.explode("ranges").alias("r"))
     here = mixed.join(stored(found, "ranges"), ["anchor", "content"]).select("k1", "k2", "start", "windows", "times", "r.low", "r.high")
     alike = shared.where("not mixed").select("k1", "k2", "start", "windows", "times", F.lit(0).alias("low"), F.col("windows").alias("high"))
