@@ -177,78 +177,84 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 class RunIndex:
     """Run-length compressed Burrows-Wheeler transform of byte strings, with match lengths sampled at the ends of its runs.
 
-    The strings are followed by separators that differ from each other, so no match crosses two of them.
+    The strings stand one after the other, each followed by a separator that is no byte.
     """
 
     def __init__(self, strings: list[bytes]):
         sizes = np.array([len(s) + 1 for s in strings], np.int64)
-        self.starts = np.cumsum(sizes) - sizes
+        self.ends = np.cumsum(sizes) - 1
+        self.starts = self.ends + 1 - sizes
         n = int(sizes.sum())
         self.symbols = np.zeros(n, np.int64)
         inner = np.ones(n, bool)
-        inner[self.starts + sizes - 1] = False
+        inner[self.ends] = False
         self.symbols[inner] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         self.ranks: list[tuple[int, np.ndarray]] = []
-        order = self._sort(np.repeat(np.arange(len(strings)), sizes))
+        order = self._sort()
         # the transform: the symbol before each suffix; a run ends where the next symbol differs, or at a string's start
         before = np.roll(self.symbols, 1)
         before[self.starts] = -1 - np.arange(len(strings))
         column = before[order]
-        breaks = column[1:] != column[:-1]
-        heads, tails = np.flatnonzero(breaks) + 1, np.flatnonzero(breaks)
-        self.n_runs = len(heads) + 1
-        self.head, self.tail = order[np.append(0, heads)], order[np.append(tails, n - 1)]
-        self.head_match = np.append(0, self._match(order[heads], order[heads - 1]))
-        self.tail_match = np.append(self._match(order[tails], order[tails + 1]), 0)
-
-    def _sort(self, owner: np.ndarray) -> np.ndarray:
-        """The order of all suffixes by doubling; ``ranks`` keeps the order by the first 7, 14, 28 ... symbols."""
-        n = len(self.symbols)
-        padded = np.append(self.symbols, np.zeros(8, np.int64))
-        key, whole = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(7):  # nine bits a symbol
-            symbol = np.where(whole, padded[j : j + n], 0)
-            key = (key << 9) | symbol
-            whole &= symbol > 0
-        tie = np.where(whole, 0, owner + 1)  # what reaches its separator differs from all others
-        order = np.lexsort((tie, key))
-        step, second = 7, tie
+        breaks = np.flatnonzero(column[1:] != column[:-1])
+        self.n_runs = len(breaks) + 1
+        self.head, self.tail = order[np.append(0, breaks + 1)], order[np.append(breaks, n - 1)]
+        match = self._match(order[breaks], order[breaks + 1])
+        self.head_match, self.tail_match = np.append(0, match), np.append(match, 0)
+
+    def _sort(self) -> np.ndarray:
+        """The order of all suffixes by doubling; ``ranks`` keeps the order by the first 7, 14, 28 ... symbols.
+
+        A rank is the first place of a suffix's group in the order; only groups of several are sorted again.
+        """
+        n, step = len(self.symbols), 7
+        padded = np.append(self.symbols, np.zeros(step, np.int64))
+        key = np.zeros(n, np.int64)
+        for j in range(step):  # nine bits a symbol
+            key = (key << 9) | padded[j : j + n]
+        order, rank, places = np.argsort(key), np.empty(n, np.int64), np.arange(n)
+        members, key = order, key[order]
         while True:
-            rank = np.zeros(n, np.int64)
-            a, b = key[order], second[order]
-            rank[order[1:]] = np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            self.ranks.append((step, np.append(rank, np.full(step, -1))))
-            if rank[order[-1]] == n - 1:
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(first, len(key)))
+            rank = rank.copy()
+            rank[members] = np.repeat(places[first], sizes)
+            self.ranks.append((step, np.append(rank, -1)))
+            places = places[np.repeat(sizes, sizes) > 1]
+            if not len(places):
                 return order
-            key, second = rank, self.ranks[-1][1][step : step + n] + 1
-            order = np.argsort(key * (n + 1) + second)
+            members = order[places]
+            key = rank[members] * (n + 1) + self.ranks[-1][1][np.minimum(members + step, n)] + 1
+            sort = np.argsort(key)
+            members, key = members[sort], key[sort]
+            order[places] = members
             step *= 2
 
     def _match(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Common prefix lengths of the suffixes at p and q."""
         n, length = len(self.symbols), np.zeros(len(p), np.int64)
         for step, rank in reversed(self.ranks):
-            a, b = np.minimum(p + length, n - 1), np.minimum(q + length, n - 1)
+            a, b = np.minimum(p + length, n), np.minimum(q + length, n)
             length += np.where(rank[a] == rank[b], step, 0)
-        going = np.ones(len(p), bool)
+        symbols, going = np.append(self.symbols, -1), np.ones(len(p), bool)
         for _ in range(6):
-            a, b = np.minimum(p + length, n - 1), np.minimum(q + length, n - 1)
-            going &= (self.symbols[a] == self.symbols[b]) & (self.symbols[a] > 0)
+            going &= symbols[np.minimum(p + length, n)] == symbols[np.minimum(q + length, n)]
             length += going
         return length
 
     def longest(self) -> np.ndarray:
-        """For each place the length of the longest match of its suffix with any other suffix, streamed from the run ends."""
+        """For each place the length of the longest match of its suffix with any other one, up to its string's end.
+
+        Streamed from the run ends: elsewhere the neighbour in the order moves along with the suffix.
+        """
         n = len(self.symbols)
-        best = np.zeros(n, np.int64)
+        best, here = np.zeros(n, np.int64), np.arange(n)
         for sample, match in ((self.head, self.head_match), (self.tail, self.tail_match)):
-            at = np.zeros(n, np.int64)
+            at, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
             at[sample] = sample
             at = np.maximum.accumulate(at)
-            length = np.zeros(n, np.int64)
             length[sample] = match
-            best = np.maximum(best, length[at] - (np.arange(n) - at))
-        return best
+            best = np.maximum(best, length[at] - (here - at))
+        return np.minimum(best, np.repeat(self.ends, self.ends - self.starts + 1) - here)
 
 
 def repeated_windows(strings: list[bytes]) -> list[list[tuple[int, int]]]:
