@@ -367,7 +367,7 @@ def _signed(x: int) -> int:
 
 
 def _ranges(parts: DataFrame, cells: tuple[int, ...]) -> DataFrame:
-    """content, anchor, ranges of repeated windows of different ``parts`` (as _PART), which share an anchor with others."""
+    """content, anchor, ranges of repeated windows of different ``parts`` (as _PART, ``kinds`` being how many share the anchor, at most)."""
     count = (F.octet_length("data") - (LENGTH - 1)).alias("high")
     whole = F.array(F.struct(F.lit(0).alias("low"), count)).alias("ranges")
     full = parts.where("times > 1").select("content", "anchor", whole)
@@ -381,13 +381,13 @@ def _ranges(parts: DataFrame, cells: tuple[int, ...]) -> DataFrame:
     hot = parts.where((F.col("kinds") > GROUP)).dropDuplicates(["anchor", "content"])
     if hot.isEmpty():
         return found
-    split = stored(hot.select("anchor", "content", "lead", "data").mapInArrow(_cell_batches(cells[0]), _CELL), "cells")
+    split = stored(hot.select("anchor", "content", "lead", "data").mapInArrow(_cell_batches(cells[0]), _CELL), "cells", narrow=True)
     counted = hot.select("anchor", "content", "times")
     merged = split.join(counted, ["anchor", "content"]).groupBy("part_anchor", "part_content").agg(
         F.sum("times").alias("times"), F.any_value("lead").alias("lead"), F.any_value("data").alias("data")
     )
-    merged = stored(merged.withColumnsRenamed({"part_anchor": "anchor", "part_content": "content"}), "parts")
-    kinds = stored(merged.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+    merged = stored(merged.withColumnsRenamed({"part_anchor": "anchor", "part_content": "content"}), "parts", narrow=True)
+    kinds = stored(merged.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds", narrow=True)
     deeper = _ranges(merged.join(kinds, "anchor"), cells[1:])
     deeper = deeper.withColumnsRenamed({"anchor": "part_anchor", "content": "part_content"})
     moved = F.transform(
@@ -422,22 +422,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     anchors_ = own.groupBy("anchor").agg(
         F.sum("times").alias("total"), F.min("content").alias("least"), F.max("content").alias("most")
     )
-    anchors_ = anchors_.where("total > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed"))
+    anchors_ = anchors_.where("total > 1").select("anchor", "total", (F.col("least") != F.col("most")).alias("mixed"))
     # as a table of its own, so that the join with a very common anchor can be split
-    shared = stored(own.join(stored(anchors_, "anchors"), "anchor"), "shared")
+    shared = stored(own.join(stored(anchors_, "anchors", narrow=True), "anchor"), "shared")
     mixed = shared.where("mixed")
     different = mixed.groupBy("anchor", "content").agg(
         F.sum("times").alias("times"),
-        *[F.any_value(c).alias(c) for c in ("k1", "k2", "start", "windows", "lead")],
+        *[F.any_value(c).alias(c) for c in ("k1", "k2", "start", "windows", "lead", "total")],
     )
-    different = stored(different, "different")
-    kinds = stored(different.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
-    wanted = different.join(kinds, "anchor").groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("start", "windows", "anchor", "content", "times", "kinds", "lead")).alias("wanted")
+    wanted = different.groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("start", "windows", "anchor", "content", "times", F.col("total").alias("kinds"), "lead")).alias("wanted")
     )
-    parts = texts.join(stored(wanted, "wanted"), ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_fetch_batches, _PART)
+    parts = texts.join(stored(wanted, "wanted", narrow=True), ["k1", "k2"])
+    parts = parts.select("k1", "k2", "text", "wanted").mapInArrow(_fetch_batches, _PART)
     found = _ranges(stored(parts, "parts"), CELLS).select("anchor", "content", F.explode("ranges").alias("r"))
-    here = mixed.join(stored(found, "ranges"), ["anchor", "content"]).select("k1", "k2", "start", "windows", "times", "r.low", "r.high")
+    here = mixed.join(stored(found, "ranges", narrow=True), ["anchor", "content"]).select("k1", "k2", "start", "windows", "times", "r.low", "r.high")
     alike = shared.where("not mixed").select("k1", "k2", "start", "windows", "times", F.lit(0).alias("low"), F.col("windows").alias("high"))
     # equal segments one after the other repeat as a whole
     last = F.col("start") + F.when(F.col("times") > 1, F.col("times").cast("long") * F.col("windows")).otherwise(F.col("high")) + (LENGTH - 1)
@@ -448,7 +447,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` as ``row``, with ``spans`` (removed byte ranges, in order) and ``kept`` (the other bytes)."""
-    spans = stored(repeated_spans(docs), "spans")
+    spans = stored(repeated_spans(docs), "spans", narrow=True)
     rows = docs.select(*row_keys(), F.struct("*").alias("row")).join(spans, ["k1", "k2"], "left")
     data = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
     rows = rows.select("row", F.coalesce("spans", F.array().cast("array<struct<low:long,high:long>>")).alias("spans"), data.alias("data"))
