@@ -52,6 +52,7 @@ _TEXT_LI = (
     "echo_time",
     "repetition_time",
     "manufacturer_model_name",
+    *views.LI_REST,
 )
 
 

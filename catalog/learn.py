@@ -16,7 +16,7 @@ from catalog import views
 from catalog.registry import query
 from seriesloom.operators import features, models
 from seriesloom.operators.metrics import auc_ovo, auc_ovr, long_scores, metrics_long
-from seriesloom.operators.split import group_kfold, tag_split
+from seriesloom.operators.split import group_kfold, subset_rows, tag_split
 from seriesloom.operators.summarise import summarise
 from seriesloom.plans.predict import predict
 from seriesloom.plans.train import learning_curve, train, training_table
@@ -33,6 +33,18 @@ def _instances(spark, sf_dir):
     return views.instances(spark, sf_dir).drop("instance_id", "sop_class", "valid")
 
 
+WIDE = models.TrainSpec()  # default forests on all columns
+
+
+def labelled_li(spark, sf_dir, n: int = 4000):
+    """Series of all header columns, with the maker's first word as class and some of them at random; ``n`` of them."""
+    series = summarise(views.instances_li(spark, sf_dir).drop("instance_id"), large=False)
+    noise = F.conv(F.substring(F.md5("series_uid"), 1, 2), 16, 10).cast("int")
+    kind = F.when(noise % 3 == 0, noise % 5).otherwise(F.pmod(F.length("manufacturer") + F.length("series_description"), F.lit(5)))
+    labels = F.array(*[F.lit(c.upper()) for c in CLASSES])
+    return subset_rows(training_table(series.withColumn("class", F.get(labels, kind.cast("int")))), WIDE.row_key, n)
+
+
 def _labelled(spark, sf_dir):
     """One clean row per series with its class."""
     series = summarise(_instances(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators.pixels import explode_pixels
+from seriesloom.roles import HEADER_TAGS
 
 INSTANCES = r"""
 SELECT event_id AS instance_id,
@@ -34,7 +35,17 @@ SELECT event_id AS instance_id,
 FROM {events}
 """
 
-# The same schema from orders and their lines: a study per customer, a series per order.
+# The same schema from orders and their lines, with all header columns: a study per customer, a series per order.
+_LI_COLUMNS = (
+    "image_type series_description manufacturer diffusion_bvalue diffusion_bvalue_ge diffusion_bvalue_siemens echo_time "
+    "repetition_time manufacturer_model_name"
+).split()
+# The columns without a rule of their own: three of five are the study's, one the series', one the instance's.
+LI_REST = [c for c in HEADER_TAGS if c not in (*_LI_COLUMNS, "study_uid", "series_uid")]
+_LI_REST = "".join(
+    f",\n  concat('{c[0]}', cast(({('o_custkey', 'o_custkey', 'o_custkey', 'l_orderkey', 'l_suppkey')[i % 5]} * {i + 3}) % {i + 4} AS string)) AS {c}"
+    for i, c in enumerate(LI_REST)
+)
 INSTANCES_LI = r"""
 SELECT cast(l_orderkey * 10 + l_linenumber AS bigint) AS instance_id,
   concat('P', cast(o_custkey % 1000 AS string)) AS patient_id,
@@ -55,7 +66,7 @@ SELECT cast(l_orderkey * 10 + l_linenumber AS bigint) AS instance_id,
   cast(l_partkey % 500 AS string) AS repetition_time,
   o_orderpriority AS manufacturer_model_name,
   cast(l_linenumber AS int) AS number_of_images,
-  l_extendedprice AS image_mean
+  l_extendedprice AS image_mean""" + _LI_REST + """
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """
 

@@ -11,7 +11,7 @@ from seriesloom.operators.clean import rename_columns, sanitize, sort_prediction
 from seriesloom.operators.models import FoldModel, score_ensemble
 from seriesloom.operators.rules import apply_rule, override
 from seriesloom.operators.summarise import summarise
-from seriesloom.roles import SERIES_KEYS, STUDY_KEYS
+from seriesloom.roles import SERIES_KEYS, STANDARD, STUDY_KEYS
 from seriesloom.sources.tables import read_any
 
 LEVELS = {"series": SERIES_KEYS, "study": STUDY_KEYS, "instance": None}
@@ -22,12 +22,22 @@ def features_of(
     reduce: str = "series",
     mapping: Mapping[str, str] | Iterable[str] | None = None,
     mode: str = "exact",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Renamed, folded and sanitised feature rows at series, study or instance level."""
+    """Renamed, folded and sanitised feature rows at series, study or instance level.
+
+    ``columns`` are those to fold, all if None.
+    """
     if mapping is not None:
         instances = rename_columns(instances, mapping)
     keys = LEVELS[reduce]
-    return sanitize(instances if keys is None else summarise(instances, keys), mode)
+    return sanitize(instances if keys is None else summarise(instances, keys, columns=columns), mode)
+
+
+def columns_read(models: Sequence[FoldModel], rule: str | None = None, also: Sequence[str] = ()) -> list[str]:
+    """The columns that models and rule read: the models' roles, for a rule all standard text columns, and ``also``."""
+    roles = [m.plan.roles for m in models] + ([STANDARD] if rule is not None else [])
+    return list(dict.fromkeys(c for r in roles for c in (*r.text, *r.number_token, *r.numeric, *r.defaults))) + list(also)
 
 
 def predict(
@@ -37,9 +47,14 @@ def predict(
     reduce: str = "series",
     mapping: Mapping[str, str] | Iterable[str] | None = None,
     mode: str = "exact",
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Prediction table of an instance table. Models see data cleaned in the mode they were trained with."""
-    return score_ensemble(models, features_of(instances, reduce, mapping, mode), rule)
+    """Prediction table of an instance table. Models see data cleaned in the mode they were trained with.
+
+    Folding leaves out columns that neither models nor rule read; ``also`` names more, for a rule of one's own.
+    """
+    columns = columns_read(models, rule, also)
+    return score_ensemble(models, features_of(instances, reduce, mapping, mode, columns), rule)
 
 
 def predict_paths(
