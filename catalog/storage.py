@@ -183,7 +183,7 @@ def rejected_tags(spark, sf_dir):
     """How many documents are taken, and how many are left out for which reason."""
     documents = spark.sql(_BROKEN, tags=views.tags(spark, sf_dir))
     rejected = tags.rejected_tags(documents, keep=("instance_id",)).select("reason")
-    accepted = tags.flatten_tags_web(documents, keep=("instance_id",)).select(F.lit("accepted").alias("reason"))
+    accepted = tags.flatten_tags_web(documents, keep=("instance_id",), need=tags.IDENTITY).select(F.lit("accepted").alias("reason"))
     return rejected.union(accepted).groupBy("reason").agg(F.count("*").alias("n"))
 
 

@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import CountVectorizerModel, VarianceThresholdSelector, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import CountVectorizerModel, VarianceThresholdSelector, VarianceThresholdSelectorModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
@@ -33,6 +33,7 @@ from seriesloom.operators.clean import class_order
 from seriesloom.operators.features import (
     COUNTS,
     GRAMS,
+    MISSING_COUNT,
     NUMBERS,
     FeaturePlan,
     add_grams,
@@ -173,7 +174,7 @@ class _StoppingOneVsRest(OneVsRest):
 def in_parallel(work: Callable, items: Sequence, threads: int) -> list:
     """``work`` of every item, at most ``threads`` at a time; the threads take over the caller's job properties."""
     with ThreadPool(max(1, min(threads, len(items)))) as pool:
-        return pool.map(inheritable_thread_target(work), items)
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), items)
 
 
 def draw_params(task: str, model: str, draws: int, seed: int) -> list[dict[str, object]]:
@@ -371,23 +372,36 @@ def score_holdout(models: Sequence[FoldModel], df: DataFrame, spec: TrainSpec) -
 
 
 def ensemble_votes(models: Sequence[FoldModel], df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Table with one vote column per fold model. All models run in one pass without a shuffle."""
+    """Table with one vote column per fold model. All models run in one pass without a shuffle.
+
+    A row's terms are counted once, over the terms of all models with the same number columns; every model
+    then takes the entries that passed its own vocabulary and variance filter straight out of that vector.
+    """
     texts = dict.fromkeys(c for m in models for c in m.plan.roles.text)
     out = add_grams(df, Roles(text=tuple(texts)))
     votes: list[str] = []
     for _, alike in groupby(models, key=lambda m: (m.plan.roles.number_token, m.plan.roles.numeric)):
         fold_models = list(alike)
         out = add_numbers(out, fold_models[0].plan.roles)
+        vocabulary = sorted({term for m in fold_models for term in m.plan.vocabulary})
+        whole = FeaturePlan(fold_models[0].plan.roles, vocabulary)
+        place = {name: i for i, name in enumerate(vocabulary)}
+        out = PipelineModel(stages=whole.stages("_all")).transform(out).drop(NUMBERS, MISSING_COUNT, COUNTS)
         for model in fold_models:
+            entries = [place[t] for t in model.plan.vocabulary] + [*range(len(vocabulary), len(whole.names))]
+            *_, selector, predictor = model.pipeline.stages
+            if not isinstance(selector, VarianceThresholdSelectorModel):
+                raise ValueError(f"the pipeline of fold {model.fold} is not one of fit_model or cv_train")
+            chosen = VectorSlicer(inputCol="_all", outputCol=selector.getOutputCol(), indices=[entries[i] for i in selector.selectedFeatures])
             vote = F.col("prediction")
             if model.task == "classification":
                 vote = F.upper(F.get(F.array(*[F.lit(v) for v in model.labels]), vote.cast("int")))
             name = f"_vote{len(votes)}"
-            scored = model.pipeline.transform(out).withColumn(name, vote)
+            scored = predictor.transform(chosen.transform(out)).withColumn(name, vote)
             out = scored.select(*out.columns, name)
             votes.append(name)
-        out = out.drop("_numbers", "_missing")
-    return out.drop("_grams"), votes
+        out = out.drop("_all")
+    return out.drop(GRAMS), votes
 
 
 def score_ensemble(

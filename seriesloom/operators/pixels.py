@@ -77,7 +77,7 @@ def with_stats(df: DataFrame, pixels: str, width: int | Column) -> DataFrame:
         *df.columns,
         "_stats.*",
         F.ceil(size / width).cast("double").alias("image_x"),
-        F.least(size, F.lit(width) if isinstance(width, int) else width).cast("double").alias("image_y"),
+        F.when(size > 0, F.least(size, F.lit(width) if isinstance(width, int) else width)).cast("double").alias("image_y"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from seriesloom.operators.clean import filter_regex, union_diagonal
 from seriesloom.operators.models import FoldModel, score_ensemble
 from seriesloom.operators.summarise import summarise
-from seriesloom.sources.tags import flatten_tags_archive, flatten_tags_web, name_study
+from seriesloom.sources.tags import IDENTITY, flatten_tags_archive, flatten_tags_web, name_study
 
 
 @dataclass(frozen=True)
@@ -30,10 +30,10 @@ def study_features(
 ) -> DataFrame:
     """Series rows of whole studies, from one or more document tables.
 
-    The series sizes come out of the folding itself, so instances are shuffled once and never joined.
+    Documents without study or series are left out. The series sizes come out of the folding itself, so instances are shuffled once and never joined.
     """
     flatten = {"web": flatten_tags_web, "archive": flatten_tags_archive}[form]
-    instances = union_diagonal([name_study(flatten(d, json)) for d in documents])
+    instances = union_diagonal([name_study(flatten(d, json, need=IDENTITY)) for d in documents])
     return filter_regex(summarise(instances), filters)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,20 +18,24 @@ def flatten_tags_web(
     json: str = "tags",
     tags: Mapping[str, str] = HEADER_TAGS,
     keep: tuple[str, ...] = (),
+    need: Sequence[str] = (),
     fault: str | None = None,
 ) -> DataFrame:
     """``{"00180081": {"vr": …, "Value": […]}}`` → one text column per tag, absent tags marked.
 
-    Only the listed tags are parsed out of the document. ``fault`` names a column that tells why a document
-    is none (NULL where it is one); without it such documents are left out, see ``rejected_tags``.
+    Only the listed tags are parsed out of the document. Rows without a document, text that is none and
+    documents that lack a column of ``need`` are left out, see ``rejected_tags``; with ``fault`` they stay,
+    and the column of that name tells what is wrong (NULL if nothing is).
     """
     keys = {name: tag.replace(",", "") for name, tag in tags.items()}
     schema = ", ".join(f"`{key}` struct<Value: array<string>>" for key in keys.values())
     read = F.from_json(json, f"{schema}, `{_UNREAD}` string", {"columnNameOfCorruptRecord": _UNREAD})
     parsed = df.select(*keep, F.col(json).isNull().alias("_absent"), read.alias("_tags"))
     flat = {n: join_list(F.col("_tags")[key]["Value"]) for n, key in keys.items()}
-    unread = F.col("_tags").isNull() | F.col("_tags")[_UNREAD].isNotNull()
-    return _judged(parsed, unread, flat, keep, fault)
+    # a document with one odd value still has its others
+    nothing = F.coalesce(*[F.col("_tags")[key] for key in keys.values()]).isNull()
+    unread = F.col("_tags").isNull() | (F.col("_tags")[_UNREAD].isNotNull() & nothing)
+    return _judged(parsed, unread, flat, keep, need, fault)
 
 
 def flatten_tags_archive(
@@ -39,11 +43,12 @@ def flatten_tags_archive(
     json: str = "tags",
     tags: Mapping[str, str] = HEADER_TAGS,
     keep: tuple[str, ...] = (),
+    need: Sequence[str] = (),
     fault: str | None = None,
 ) -> DataFrame:
     """``{"0018,0081": {"Value": "1\\\\2"}}`` → one text column per tag; hex digits in either case.
 
-    ``fault`` is that of ``flatten_tags_web``.
+    ``need`` and ``fault`` are those of ``flatten_tags_web``.
     """
     read = F.from_json(json, "map<string,struct<Value:string>>").alias("_tags")
     parsed = df.select(*keep, F.col(json).isNull().alias("_absent"), read)
@@ -53,7 +58,7 @@ def flatten_tags_archive(
         return F.coalesce(*[F.element_at("_tags", key)["Value"] for key in spellings])
 
     flat = {n: join_backslashes(cell(tag)) for n, tag in tags.items()}
-    return _judged(parsed, F.col("_tags").isNull(), flat, keep, fault)
+    return _judged(parsed, F.col("_tags").isNull(), flat, keep, need, fault)
 
 
 _UNREAD = "#unread"
@@ -61,29 +66,23 @@ _UNREAD = "#unread"
 IDENTITY = ("study_uid", "series_uid")
 
 
-def _judged(parsed: DataFrame, unread: Column, flat: Mapping[str, Column], keep: tuple[str, ...], fault: str | None) -> DataFrame:
-    """The flattened rows of documents that have the ids of their study and series, or all with what is wrong."""
-    without = [n for n in IDENTITY if n in flat]
-    missing = {n: F.trim(flat[n]).isin("", MISSING) for n in without}
-    nowhere = F.lit(False)
-    for test in missing.values():
-        nowhere = nowhere | test
-    # a document with one odd value still has its ids
-    reason = F.when(F.col("_absent"), "no document").when(unread & nowhere, "not a tag document")
-    for name, test in missing.items():
-        reason = reason.when(test, f"no {name}")
-    columns = [value.alias(n) for n, value in flat.items()]
-    if fault is not None:
-        return parsed.select(*keep, *columns, reason.alias(fault))
-    rows = parsed.select(*keep, *columns, reason.alias(_UNREAD))
-    return rows.where(F.col(_UNREAD).isNull()).drop(_UNREAD)
-
-
-def rejected_tags(df: DataFrame, json: str = "tags", form: str = "web", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep…, reason) of the documents that the flattening leaves out."""
+def _judged(
+    parsed: DataFrame, unread: Column, flat: Mapping[str, Column], keep: tuple[str, ...], need: Sequence[str], fault: str | None
+) -> DataFrame:
+    """The flattened rows of the documents that will do, or all with what is wrong."""
+    reason = F.when(F.col("_absent"), "no document").when(unread, "not a tag document")
+    for name in need:
+        reason = reason.when(F.trim(flat[name]).isin("", MISSING), f"no {name}")
+    rows = parsed.select(*keep, *[value.alias(n) for n, value in flat.items()], reason.alias(fault or _UNREAD))
+    return rows if fault is not None else rows.where(F.col(_UNREAD).isNull()).drop(_UNREAD)
+
+
+def rejected_tags(
+    df: DataFrame, json: str = "tags", form: str = "web", keep: tuple[str, ...] = (), need: Sequence[str] = IDENTITY
+) -> DataFrame:
+    """(keep…, reason) of the documents that the flattening leaves out if it has that ``need``."""
     flatten = {"web": flatten_tags_web, "archive": flatten_tags_archive}[form]
-    ids = {name: HEADER_TAGS[name] for name in IDENTITY}
-    return flatten(df, json, ids, keep, "reason").where(F.col("reason").isNotNull()).select(*keep, "reason")
+    return flatten(df, json, HEADER_TAGS, keep, need, "reason").where(F.col("reason").isNotNull()).select(*keep, "reason")
 
 
 # Value processors by column, applied after flattening; callers may add their own.
