@@ -1,6 +1,6 @@
 """Near-duplicate groups from SetSketch registers.
 
-A document's set is its distinct 5-word shingles. Its sketch has 16 * LANES registers; register i
+A document's set is its distinct 5-word shingles. Its sketch has REGISTERS registers; register i
 holds ``floor(1 - log_B(x))`` cut to 0..Q+1, where x is the least of the exponential variables that hash
 function i gives the set's elements. Registers of a union are the element-wise maxima, so sketches of
 parts can be merged (``merge_registers``), and two registers agree with about the probability of the
@@ -10,15 +10,15 @@ sets' similarity, so they can be banded.
    equal sets fall into one class; only classes are compared.
 2. Classes that agree on all registers of a band meet in that band's bucket. A pair at similarity 0.85
    misses all 40 bands of 5 with probability 7e-11, at 0.8 with 1e-7.
-3. Buckets are worked off in three turns. First the member with most neighbours, in a group of near copies
-   mostly their original, is the bucket's pivot and meets all others. Then PIVOTS members outside the bucket's largest component meet all that are not
-   in theirs, and last every member that is still outside does. A pair that shares several buckets is taken
-   from the first of them: it is open as long as the two are in different components, and a pivot that has
-   left it has met the other there. Buckets whose members are all in one
-   component are done, and used pivots leave their bucket. So n near copies cost about n comparisons, not
-   n * n, and no pair of different components goes untested: members that link with none of many similar
-   ones meet all of them, but only as sketches, inside the join (low register bits, five standard errors).
-4. A comparison is a maximum-likelihood estimate of the similarity from both register arrays and the
+3. The member with most neighbours, in a group of near copies mostly their original, is its bucket's pivot and
+   meets all others. Buckets whose members are then all in one component are done.
+4. In the others, members of different components may still be linked, and a bucket of many texts that are only
+   somewhat similar must not be compared pair by pair. Their full sets are put in one order, rarest shingles
+   first. A pair at the threshold shares one of the first n - ceil(threshold * n) + 1 shingles of each set, so a
+   set enters only the lists of these, those that no other set has left out, and meets members of other
+   components with which the rest of both orders is still long enough. That loses no link, and texts that each
+   have a share of shingles of their own meet nobody.
+   A meeting is first a maximum-likelihood estimate of the similarity from both register arrays and the
    known set sizes; pairs that come within six standard errors of the threshold are decided on the full
    shingle sets of both texts.
 5. Components of the confirmed links give the groups.
@@ -35,23 +35,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.components import connected_components
+from seriesloom.llm.store import stored
 from seriesloom.llm.words import mix, shingle_sets
 from seriesloom.session import materialise
 
 BANDS, ROWS = 40, 5
-REGISTERS = BANDS * ROWS  # kept in full, for bands and estimates
-LANES = 32  # long values with the low four bits of 16 registers each; the first REGISTERS of these are the above
+REGISTERS = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 2**16 - 2  # base, rate and range of the registers
-_ODD = np.random.default_rng(7).integers(1, 2**63, 16 * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 128  # elements handled at once: 128 x 512 values of 8 bytes stay in cache
-PIVOTS = 32  # pivots of a bucket in the second turn
+_ODD = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLOCK = 128  # elements handled at once, so their values stay in cache
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set of 64-bit hashes; all 0 for an empty set."""
     if not len(elements):
-        return np.zeros(16 * LANES, np.uint16)
-    least = np.full(16 * LANES, np.iinfo(np.uint64).max, np.uint64)
+        return np.zeros(REGISTERS, np.uint16)
+    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(elements), _BLOCK):
         np.minimum(least, (elements[i : i + _BLOCK, None] * _ODD).min(axis=0), out=least)
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / A
@@ -92,41 +91,17 @@ def joint_similarity(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_
     return (low + high) / 2
 
 
-def lanes(values: np.ndarray) -> np.ndarray:
-    """The low four bits of all registers, sixteen to a long."""
-    low = (values.astype(np.uint64) & np.uint64(15)).reshape(LANES, 16)
-    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def lanes_differ(left: str, right: str) -> Column:
-    """How many registers differ in their low four bits, from columns ``left0`` ... and ``right0`` ..."""
-    total = F.lit(0)
-    for i in range(LANES):
-        x = F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(x)
-    return total
-
-
-def _lane_columns(name: str) -> list[Column]:
-    # plain columns that can't be null keep the generated code of the join's condition small enough to be compiled
-    return [F.coalesce(F.get("lanes", F.lit(i)), F.lit(0).cast("long")).alias(f"{name}{i}") for i in range(LANES)]
-
-
-_SKETCH = "doc_id long, n long, f1 long, f2 long, row_key long, registers binary, lanes array<long>"
+_SKETCH = "doc_id long, n long, f1 long, f2 long, row_key string, registers binary"
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, f1, f2, kept, low = [], [], [], [], []
+        n, f1, f2, kept = [], [], [], []
         for s in shingle_sets(batch.column(2)):
             n.append(len(s))
             f1.append(int(s.sum(dtype=np.uint64)))
             f2.append(int(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)))
-            values = registers(s) if len(s) else None
-            kept.append(None if values is None else values[:REGISTERS].tobytes())
-            low.append(None if values is None else lanes(values))
+            kept.append(registers(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).cast(pa.int64()),
@@ -135,15 +110,15 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 pa.array(np.array(f2, np.uint64).view(np.int64)),
                 batch.column(1),
                 pa.array(kept, pa.binary()),
-                pa.array(low, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n", "f1", "f2", "row_key", "registers", "lanes"],
+            names=["doc_id", "n", "f1", "f2", "row_key", "registers"],
         )
 
 
 def row_key() -> Column:
-    """A key of (doc_id, text), nulls told apart from empty texts."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"), F.col("text").isNull())
+    """128 bits of (doc_id, text) as hex digits, nulls told apart from empty texts."""
+    text = F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("-"))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), text).cast("binary"))
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -195,23 +170,18 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int)
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets with several components: their component and the bucket's largest."""
+    """Members of buckets that hold several components, with their component."""
     state = members.join(labels.toDF("class_id", "label"), "class_id", "left").select(
-        "bucket", "class_id", "n", "near", F.coalesce("label", "class_id").alias("comp")
-    )
-    by_comp = state.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.max("near").alias("near"))
-    main = by_comp.groupBy("bucket").agg(
-        F.max(F.struct("size", -F.col("near"), "comp"))["comp"].alias("main"), F.count("*").alias("comps")
+        "bucket", "class_id", "n", F.coalesce("label", "class_id").alias("comp")
     )
-    return state.join(main.where("comps > 1").select("bucket", "main"), "bucket")
+    span = state.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return state.join(stored(span.select("bucket"), "spans", narrow=True), "bucket")
 
 
-def _pivots(still: DataFrame, *slot: Column) -> DataFrame:
-    """Of each slot of each bucket the member with most neighbours."""
-    best = still.groupBy("bucket", *slot).agg(F.max(F.struct("near", "class_id", "n", "comp")).alias("p"))
-    return best.select(
-        "bucket", F.col("p.class_id").alias("p"), F.col("p.n").alias("pn"), F.col("p.near").alias("pnear"), F.col("p.comp").alias("pc")
-    )
+def _pivots(members: DataFrame) -> DataFrame:
+    """Of each bucket the member with most neighbours."""
+    best = members.groupBy("bucket").agg(F.max(F.struct("near", "class_id", "n")).alias("p"))
+    return best.select("bucket", F.col("p.class_id").alias("p"), F.col("p.n").alias("pn"), F.col("p.near").alias("pnear"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -223,22 +193,51 @@ def _pairs(met: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _most_differ(percent: int) -> int:
-    """Registers that may differ in their low bits at the similarity, with five standard errors on top."""
-    share = (1 - percent / 100) * 15 / 16
-    n = 16 * LANES
-    return int(n * share + 5 * (n * share * (1 - share)) ** 0.5)
+_SHINGLES = "class_id long, comp long, n long, shingle long"
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class_id, comp, n, text) to one row per shingle."""
+    for batch in batches:
+        for i, s in enumerate(shingle_sets(batch.column(3))):
+            for k in range(0, len(s), 1 << 16):
+                part = s[k : k + (1 << 16)].view(np.int64)
+                own = [pa.array(np.full(len(part), batch.column(c)[i].as_py(), np.int64)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(part)], names=["class_id", "comp", "n", "shingle"])
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, rank) of ``members`` (class_id, comp, n) of different components that may reach the similarity."""
+    sets = texts.join(members, "class_id").select("class_id", "comp", "n", "text").mapInArrow(_shingle_batches, _SHINGLES)
+    sets = stored(sets, "shingles")
+    counts = stored(sets.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "counts", narrow=True)
+    # in the order of all, the shingles that only one set has come first and need no list
+    shared = sets.join(counts, "shingle").groupBy("class_id", "comp", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order")
+    )
+    alone = F.col("n") - F.size("order")
+    length = F.expr(f"n - ({percent} * n + 99) div 100 + 1") - alone
+    first = shared.where(length > 0).select(
+        "class_id", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("at", "s")
+    )
+    lists = stored(first.select("s.shingle", "class_id", "comp", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")), "lists", narrow=True)
+    several = lists.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    lists = stored(lists.join(several.select("shingle"), "shingle"), "lists", narrow=True)
+    other = lists.toDF("shingle", "b", "comp_b", "n_b", "rest_b")
+    enough = F.expr(f"{100 + percent} * least(rest, rest_b) >= {percent} * (n + n_b)")
+    met = lists.withColumnRenamed("class_id", "a").join(other, "shingle").where((F.col("comp") != F.col("comp_b")) & (F.col("a") < F.col("b")) & enough)
+    return met.select("a", "b", F.lit(0).cast("long").alias("rank")).distinct()
 
 
 def _labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """class_id, label of all classes that are linked with another one."""
     bands = [F.xxhash64(F.lit(i), F.expr(f"substring(registers, {2 * ROWS * i + 1}, {2 * ROWS})")) for i in range(BANDS)]
     members = classes.select("class_id", "n", F.explode(F.array(*bands)).alias("bucket"))
-    signs = classes.select("class_id", "lanes", F.array(*bands).alias("bands"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(members.join(shared, "bucket"), "members")
+    # counts are tables of their own, so that joins with a very large bucket can be split
+    shared = stored(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes", narrow=True)
+    members = stored(members.join(shared, "bucket"), "members", narrow=True)
     near = members.groupBy("class_id").agg(F.sum("size").alias("near"))
-    members = materialise(members.drop("size").join(near, "class_id"), "members")
+    members = stored(members.drop("size").join(near, "class_id"), "members", narrow=True)
     wanted = members.select("class_id").distinct().join(classes.select("class_id", "row_key"), "class_id")
     # rows of one key hold the same text, so any of them serves; repeated rows are combined map-side
     texts = materialise(
@@ -249,42 +248,17 @@ def _labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     )
     sized = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
 
-    def linked(met: DataFrame) -> DataFrame:
-        return materialise(_links(_pairs(met), classes, texts, percent), "links")
-
-    def screened(still: DataFrame, pivots: DataFrame, apart: Column) -> DataFrame:
-        own = still.join(signs.select("class_id", F.col("bands").alias("own"), *_lane_columns("own")), "class_id")
-        their = signs.select(F.col("class_id").alias("p"), F.col("bands").alias("their"), *_lane_columns("their"))
-        their = pivots.join(their, "p")
-        alike = lanes_differ("own", "their") <= _most_differ(percent)
-        once = F.get(F.array_intersect("own", "their"), F.lit(0)) == F.col("bucket")
-        met = (F.col("bucket") == F.col("b")) & apart & sized & alike & once
-        return own.join(their.withColumnRenamed("bucket", "b"), met)
-
-    def without(still: DataFrame, pivots: DataFrame) -> DataFrame:
-        used = pivots.select("bucket", F.col("p").alias("class_id"))
-        return still.join(used, ["bucket", "class_id"], "left_anti").select("bucket", "class_id", "n", "near")
-
-    # one pivot for each bucket
-    pivots = materialise(_pivots(members.withColumn("comp", F.col("class_id"))), "pivots")
-    links = linked(members.join(pivots, "bucket").where(sized & (F.col("class_id") != F.col("p"))))
+    pivots = stored(_pivots(members), "pivots", narrow=True)
+    met = members.join(pivots, "bucket").where(sized & (F.col("class_id") != F.col("p")))
+    links = stored(_links(_pairs(met), classes, texts, percent), "links", narrow=True)
     labels = connected_components(links)
-    still = materialise(_open(without(members, pivots), labels), "open")
+    # a pivot has met the others of its bucket
+    used = pivots.select("bucket", F.col("p").alias("class_id"))
+    still = _open(members.join(used, ["bucket", "class_id"], "left_anti"), labels)
+    still = stored(still.select("class_id", "comp", "n").distinct(), "open", narrow=True)
     if still.isEmpty():
         return labels
-
-    # some of those outside the largest component
-    slot = F.pmod(F.xxhash64("class_id"), F.lit(PIVOTS)).alias("slot")
-    pivots = materialise(_pivots(still.where("comp <> main"), slot), "pivots")
-    links = links.union(linked(screened(still, pivots, F.expr("comp <> pc"))))
-    labels = connected_components(links)
-    still = materialise(_open(without(still, pivots), labels), "open")
-    if still.isEmpty():
-        return labels
-
-    # all of them; two that are both outside meet once
-    pivots = _pivots(still.where("comp <> main"), F.col("class_id"))
-    last = linked(screened(still, pivots, F.expr("comp <> pc and (comp = main or class_id < p)")))
+    last = stored(_links(_prefix_pairs(still, texts, percent), classes, texts, percent), "links", narrow=True)
     return labels if last.isEmpty() else connected_components(links.union(last))
 
 
@@ -308,7 +282,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             F.min("doc_id").alias("first_id"),
             F.min("row_key").alias("row_key"),
             F.any_value("registers").alias("registers"),
-            F.any_value("lanes").alias("lanes"),
         )
         .withColumn("class_id", F.monotonically_increasing_id()),
         "classes",
@@ -319,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     groups = materialise(labelled.join(least, "label").select("f1", "f2", "n", "component_id"), "groups")
-    placed = sketches.drop("registers", "lanes").join(groups, ["f1", "f2", "n"], "left")
+    placed = sketches.drop("registers").join(groups, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return placed.select(
         "doc_id",

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from fractions import Fraction
+from unittest.mock import patch
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +92,33 @@ def test_registers_merge_and_estimate():
     assert abs(j - 0.6) < 0.12
 
 
-def test_lanes_count_differing_registers(spark):
-    rng = np.random.default_rng(2)
-    a, b = (rng.integers(0, 16, 16 * near_dedup.LANES).astype(np.uint16) for _ in range(2))
-    row = spark.createDataFrame([([int(x) for x in near_dedup.lanes(a)], [int(x) for x in near_dedup.lanes(b)])], "x array<long>, y array<long>")
-    row = row.select(*[F.col("x")[i].alias(f"x{i}") for i in range(near_dedup.LANES)], *[F.col("y")[i].alias(f"y{i}") for i in range(near_dedup.LANES)])
-    assert row.select(near_dedup.lanes_differ("x", "y")).first()[0] == int((a != b).sum())
+def test_a_group_of_somewhat_similar_texts_with_few_links(spark):
+    """500 texts of one origin, each with changes of its own, at a similarity of about 0.6, and a few true links among them."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(500):
+        own = list(base)
+        for k in r.sample(range(150), 8):
+            own[k] = f"own{i}x{k}"
+        texts.append(own)
+    for i in range(0, 40, 2):  # a near copy of another member, one change at its end
+        texts[i + 1] = [*texts[i][:-1], f"tail{i}"]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {}
+
+    def counted(df, name, narrow=False, keep=near_dedup.stored):
+        out = keep(df, name, narrow)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    with patch.object(near_dedup, "stored", counted):
+        got = near_dedup.near_duplicates(docs, 85).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute_groups(docs.collect(), 85)
+    assert sum(not x.kept for x in got) >= 20
+    # what meets grows with the texts, not with their pairs
+    assert max(sizes["links"]) < 500 and sizes["lists"][-1] < 20 * 500
 
 
 def test_components(spark):
