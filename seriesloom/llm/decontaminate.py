@@ -84,7 +84,7 @@ class Matcher:
             self.pieces.make_automaton()
 
     def __call__(self, text: str) -> list[tuple[int, int]]:
-        """(item id, distance) of all items in ``text`` (normalised), by id."""
+        """(item id, distance) of all items in ``text`` (normalised), by id, null ids last."""
         if not len(self.pieces):
             return []
         windows: dict[int, list[tuple[int, int]]] = {}
@@ -119,7 +119,8 @@ class Matcher:
             best = min(myers(item, text[a:b], k) for a, b in merged)
             if best <= k:
                 exact[n] = best
-        return sorted((self.items[n][0], d) for n, d in exact.items())
+        found = ((self.items[n][0], d) for n, d in exact.items())
+        return sorted(found, key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1]))
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -136,17 +137,21 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-HITS = "array<struct<item_id:bigint,distance:int>>"
+def hits_type(items: DataFrame) -> str:
+    """Hits carry the items' own kind of id: whole numbers as bigint, all else as text."""
+    whole = dict(items.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint")
+    return f"array<struct<item_id:{'bigint' if whole else 'string'},distance:int>>"
 
 
-def _match_udf(block: list[tuple[int, str]], percent: int):
+def _match_udf(block: list[tuple[int | str, str]], percent: int, hits: str):
+    id_type = pa.int64() if "bigint" in hits else pa.string()
     matchers: list[Matcher] = []  # one per Python worker and plan
 
-    @F.arrow_udf(HITS)
+    @F.arrow_udf(hits)
     def matched(texts: pa.Array) -> pa.Array:
         if not matchers:
             matchers.append(Matcher(block, percent))
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+        kind = pa.list_(pa.struct([("item_id", id_type), ("distance", pa.int32())]))
         return pa.array(
             ([{"item_id": i, "distance": d} for i, d in matchers[0](normalise(t))] for t in texts.to_pylist()), kind
         )
@@ -159,12 +164,16 @@ def match(docs: DataFrame, items: DataFrame, percent: int = ERROR_PERCENT) -> Da
 
     ``items`` has item_id and text. One map over the documents, no shuffle. A null or empty document has
     no hits; a null, empty or blank item is in no document; items with equal texts are hit together and
-    repeated documents each have their hits; null ids pass through; other columns are left alone. With an
+    repeated documents each have their hits; null ids pass through, of documents and of items; item ids may be
+    numbers or text; other columns are left alone. With an
     empty benchmark nothing is hit; an empty table gives an empty result. Texts are searched whole.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.array().cast(HITS).alias("hits"))
+    hits = hits_type(items)
+    if "string" in hits:
+        items = items.withColumn("item_id", F.col("item_id").cast("string"))
+    rows = docs.select(F.struct("*").alias("row"), F.array().cast(hits).alias("hits"))
     for block in _blocks(items):
-        found = _match_udf(block, percent)(F.col("row.text"))
+        found = _match_udf(block, percent, hits)(F.col("row.text"))
         rows = rows.select("row", F.concat("hits", found).alias("hits"))
     return rows.select("row", F.array_sort("hits").alias("hits"))
 

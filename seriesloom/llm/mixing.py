@@ -143,14 +143,21 @@ def mix_sources(
     slots = sources.select("sid", "source", "weight", "blocks").coalesce(1)
     slots = materialise(slots.mapInArrow(_place_batches, "_mix_sid long, _mix_block long, _mix_slot long"), "slots")
     total = sources.agg(F.sum("weight").alias("w")).first()["w"]
-    sources = sources.select("sid", "source", "ranges", (F.col("weight") / F.lit(total or 1.0) * period).alias("share"))
+    # names that a table of documents is not expected to have
+    sources = sources.select(
+        F.col("sid").alias("_mix_sid"),
+        F.col("source").alias("_mix_source"),
+        F.col("ranges").alias("_mix_ranges"),
+        (F.col("weight") / F.lit(total or 1.0) * period).alias("_mix_share"),
+    )
 
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    rows = docs.select(*own, key.alias("_mix_key")).alias("d").join(sources.alias("s"), F.expr("d.source <=> s.source"))
+    names = [F.col(f"`{c}`") for c in own]
+    rows = docs.select(*names, key.alias("_mix_key")).join(sources, F.col("source").eqNullSafe(F.col("_mix_source")))
     # equal parts of the hash's span, so a range's rows come before the next range's
-    part = F.expr("cast(floor((cast(_mix_key as double) / 18446744073709551616D + 0.5D) * ranges) as int)")
-    part = F.least(F.greatest(part, F.lit(0)), F.col("ranges") - 1)
-    counts = rows.groupBy(F.col("s.sid").alias("_mix_sid"), part.alias("_mix_part")).agg(F.count("*").alias("n"))
+    part = F.expr("cast(floor((cast(_mix_key as double) / 18446744073709551616D + 0.5D) * _mix_ranges) as int)")
+    part = F.least(F.greatest(part, F.lit(0)), F.col("_mix_ranges") - 1)
+    counts = rows.groupBy("_mix_sid", part.alias("_mix_part")).agg(F.count("*").alias("n"))
     before = W.partitionBy("_mix_sid").orderBy("_mix_part").rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_offset")
     offsets = materialise(counts.select("_mix_sid", "_mix_part", offset, "n"), "offsets")
@@ -161,13 +168,7 @@ def mix_sources(
         F.transform(F.array_sort(F.collect_list(F.struct("_mix_block", "_mix_slot"))), lambda x: x["_mix_slot"]).alias("_mix_slots")
     )
     inside = W.partitionBy("_mix_sid", "_mix_part").orderBy("_mix_key", "doc_id")
-    placed = rows.select(
-        *[F.col(f"d.{c}").alias(c) for c in own],
-        "_mix_key",
-        F.col("s.sid").alias("_mix_sid"),
-        part.alias("_mix_part"),
-        F.col("s.share").alias("share"),
-    ).withColumn("_mix_rank", F.row_number().over(inside) - 1)
+    placed = rows.select(*names, "_mix_key", "_mix_sid", part.alias("_mix_part"), F.col("_mix_share").alias("share")).withColumn("_mix_rank", F.row_number().over(inside) - 1)
     # ranked rows already lie by the join's keys: the text is shuffled once
     ranked = placed.join(offsets, ["_mix_sid", "_mix_part"])
     ranked = ranked.withColumn("_mix_rank", (F.col("_mix_rank") + F.col("_mix_offset")).cast("long"))
@@ -177,5 +178,5 @@ def mix_sources(
         ranked.withColumn("block", number)
         .withColumn("slot", slot)
         .withColumn("position", F.col("slot") * block + F.col("_mix_rank") % block)
-        .select(*own, "share", "block", "slot", "position")
+        .select(*names, "share", "block", "slot", "position")
     )

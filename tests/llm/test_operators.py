@@ -495,3 +495,20 @@ def test_tasks_see_sliced_columns():
     whole = [s.tolist() for s in shingle_sets(texts)]
     assert whole[0] == whole[3] and whole[1] == [] and len(whole[2]) == 2
     assert [s.tolist() for s in shingle_sets(texts.slice(2))] == whole[2:]
+
+
+def test_mix_of_tables_with_odd_names(spark):
+    rows = [(i, f"t{i}", f"s{i % 3}" if i % 7 else None, i, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, ranges int, `a.b` string")
+    got = mixing.mix_sources(docs)
+    assert got.columns == [*docs.columns, "share", "block", "slot", "position"]
+    assert sorted(r.ranges for r in got.collect()) == list(range(60)) and got.select("position").distinct().count() == 60
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_items_without_or_with_odd_ids(spark, kind):
+    ids = [None, 7, None] if kind == "long" else [None, "seven", "a"]
+    items = spark.createDataFrame(list(zip(ids, ["the quick brown fox jumps", "over the lazy dog today", "never found here at all"])), f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(1, "x the quick brown fox jumps over the lazy dog today"), (2, None)], "doc_id long, text string")
+    got = {r.row.doc_id: [(h.item_id, h.distance) for h in r.hits] for r in decontaminate.match(docs, items).collect()}
+    assert sorted(got[1], key=str) == sorted([(None, 0), (ids[1], 0)], key=str) and got[2] == []
