@@ -438,6 +438,42 @@ def metrics_long(spark, sf_dir):
     return out.withColumn("value", F.round("value", 6))
 
 
+# even rows are a test split, odd ones folds of cross-validation
+_SPLIT_TALLY = """SELECT CASE WHEN row_id % 2 = 0 THEN 'test' ELSE 'cv' END AS split, row_id % 4 // 2 AS fold, cls, y_true, score, count(*) AS k
+    FROM v_scores GROUP BY ALL"""
+_SPLIT_RANKED = """SELECT split, fold, cls, other, wins, n_pos, n_neg FROM (
+    SELECT p.split, p.fold, p.cls, n.y_true AS other,
+      sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END * p.k * n.k) AS wins
+    FROM tally p JOIN tally n ON p.split = n.split AND p.fold = n.fold AND p.cls = n.cls AND p.y_true = p.cls AND n.y_true <> n.cls GROUP BY ALL)
+    JOIN (SELECT split, fold, cls, sum(k) AS n_pos FROM tally WHERE y_true = cls GROUP BY ALL) USING (split, fold, cls)
+    JOIN (SELECT split, fold, cls, y_true AS other, sum(k) AS n_neg FROM tally GROUP BY ALL) USING (split, fold, cls, other)"""
+
+
+@query(
+    "metrics_long_auc",
+    views.oracle(
+        """SELECT split, CAST(fold AS varchar) AS fold, round(avg(auc), 6) AS value, 'full' AS "set" FROM (
+          SELECT split, fold, cls, sum(wins) / (first(n_pos) * sum(n_neg)) AS auc FROM ranked WHERE split = 'test' GROUP BY ALL) GROUP BY ALL
+        UNION ALL SELECT split, CAST(fold AS varchar), round(avg(wins / (n_pos * n_neg)), 6), 'full' FROM ranked WHERE split = 'cv' GROUP BY ALL""",
+        "v_scores",
+        tally=_SPLIT_TALLY,
+        ranked=_SPLIT_RANKED,
+    ),
+)
+def metrics_long_auc(spark, sf_dir):
+    """The AUC rows of the long table: one against the rest on the test split, pairs in cross-validation."""
+    cells = F.array_sort(F.collect_list(F.struct("cls", "score")))
+    rows = views.scores(spark, sf_dir).groupBy("row_id", "y_true").agg(F.transform(cells, lambda x: x["score"]).alias("scores"))
+    split = F.when(F.col("row_id") % 2 == 0, "test").otherwise("cv")
+    fold = F.floor(F.col("row_id") % 4 / 2)
+    rows = rows.select(
+        F.lit("rf").alias("model"), F.lit("standard").alias("exclusion"), F.lit(1.0).alias("fraction"), split.alias("split"),
+        fold.alias("fold"), "row_id", "y_true", F.col("y_true").alias("y_pred"), "scores",
+    )
+    out = metrics.metrics_long(rows, list(range(5))).where("metric = 'auc'")
+    return out.select("split", "fold", F.round("value", 6).alias("value"), "set")
+
+
 @query(
     "importance_summary",
     """SELECT 'rf' AS model, fold, class, feature, round(avg(value), 6) AS value FROM (

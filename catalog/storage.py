@@ -11,7 +11,7 @@ from catalog.rows import sanitize_sql
 from catalog.scalars import strip_sql
 from seriesloom.operators import metrics
 from seriesloom.operators.clean import with_validity
-from seriesloom.plans import metadata
+from seriesloom.plans import files, metadata
 from seriesloom.plans.extract import write_features
 from seriesloom.plans.train import load_training_table
 from seriesloom.roles import HEADER_TAGS
@@ -298,6 +298,42 @@ def read_any_typed(spark, sf_dir):
     return tables.read_any(spark, paths).withColumn("image_mean", F.round("image_mean", 9))
 
 
+_ORDERED = "md5(concat_ws('|', study_uid, '42')), study_uid"
+
+
+@query(
+    "split_files",
+    views.oracle(
+        f"""SELECT instance_id, study_uid, CASE WHEN r <= floor(0.75 * n) THEN 'a' ELSE 'b' END AS part FROM (
+          SELECT CAST(instance_id AS varchar) AS instance_id, study_uid FROM v_instances) JOIN (
+          SELECT study_uid, row_number() OVER (ORDER BY {_ORDERED}) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT study_uid FROM v_instances))
+        USING (study_uid)""",
+        "v_instances",
+    ),
+)
+def split_files(spark, sf_dir):
+    """A table in a file to two files without a study in common, read back."""
+    source = _round_trip(spark, _strings(spark, sf_dir), ".tsv")
+    outputs = [scratch_path(spark, "part") + suffix for suffix in (".parquet", ".csv")]
+    files.split_files(spark, source, outputs, 0.75, "study_uid")
+    a, b = tables.scan_parquet(spark, outputs[0]), tables.scan_delimited(spark, outputs[1])
+    both = a.withColumn("part", F.lit("a")).unionByName(b.withColumn("part", F.lit("b")))
+    return both.select("instance_id", "study_uid", "part")
+
+
+@query(
+    "merge_target_files",
+    """SELECT CAST(d.doc_id AS varchar) AS doc_id, lang, CAST(quality AS varchar) AS class FROM documents d JOIN labels USING (doc_id)
+    WHERE quality IS NOT NULL""",
+)
+def merge_target_files(spark, sf_dir):
+    documents = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
+    labels = views.table(spark, sf_dir, "labels").where("quality is not null")
+    labels = labels.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("string").alias("class"), "toxic")
+    paths = _round_trip(spark, documents, ".csv"), _round_trip(spark, labels.select("doc_id", "class"), ".tsv")
+    return files.merge_target_files(spark, *paths, ["doc_id"], scratch_path(spark, "merged") + ".parquet")
+
+
 @query(
     "sink_metrics",
     views.oracle(
