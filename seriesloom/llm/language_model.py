@@ -3,19 +3,20 @@
 A text is its UTF-8 bytes with A-Z lower-cased, framed by the byte 0xFF, which UTF-8 never uses: DEPTH of
 them in front, one behind, so the model is a distribution over whole texts. Each byte is eight binary
 decisions, each named by the bits before it. For every decision there is a tree of contexts, the last 0,
-1, 2 and 3 bytes; a node holds the counts of zeros and ones seen in training and mixes its own
+1, ... DEPTH bytes; a node holds the counts of zeros and ones seen in training and mixes its own
 Krichevsky-Trofimov estimate with its children's product, half and half:
 
     Pw = (Pkt + Pw(child 1) * Pw(child 2) * ...) / 2,  at the deepest context Pw = Pkt
 
 A new text is scored by the predictive mixture: at every node of the byte's path the estimate counts with
 weight Pkt / (2 Pw), the rest comes from the node below. The trained model is fixed, so the cost of a
-byte depends on its 4-gram only, and a text's score is the sum over its 4-grams.
+byte depends on it and the DEPTH bytes before it only, and a text's score is the sum over these grams.
 
-Work on the corpus is Spark's: one pass counts words and 4-grams per task and adds them up in a shuffle,
-the trees below the two last bytes (at most 256 contexts of 256 bytes) are weighted as groups, and the
-two upper levels, at most 65,536 contexts of 256 bytes by construction, follow from sums of the groups.
-Scoring looks frequent words and contexts up in tables of bounded size (HOT_WORDS, HOT_CONTEXTS) shipped
+Work on the corpus is Spark's: one pass counts words and grams per task and adds them up in a shuffle. The
+nodes of the deepest level are rows (context, decision, zeros, ones); every level above is one grouping of
+the one below, from which it gets its counts and the product of its children, and the mixture goes down
+again by one join per level. So no task holds a subtree, and all that is gathered grows with the corpus.
+Scoring looks frequent words and grams up in tables of bounded size (HOT_WORDS, HOT_GRAMS) shipped
 to the tasks; all others go through a join, so the result is exact at any vocabulary.
 """
 
@@ -30,14 +31,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from seriesloom.llm.store import stored
 from seriesloom.llm.words import chunks, word_hashes
-from seriesloom.session import materialise
 
-DEPTH = 3
+DEPTH = 5  # bytes of the longest context; a gram and a decision have to fit a long, so at most 6
 FRAME = 255
 HOT_WORDS = 500_000  # 16 bytes each
-HOT_CONTEXTS = 24_000  # a row of at most 257 doubles each
+HOT_GRAMS = 1_000_000  # 16 bytes each
 SMOOTHING = 0.1
 END = np.int64(0x0E4D0F7E47)  # the end token's key
 
@@ -50,17 +52,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(10)) == 0, F.lit(False))
 
 
-def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Framed 4-grams of all texts, each as one uint32 with the newest byte lowest, and their bounds by text."""
+def grams(data: np.ndarray, bounds: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Framed grams of depth + 1 bytes of all texts, each as one number with the newest byte lowest, and their bounds by text."""
     n = len(bounds) - 1
     lengths = np.diff(bounds)
-    starts = np.arange(n) * (DEPTH + 1) + bounds[:-1] + DEPTH
-    framed = np.full(len(data) + n * (DEPTH + 1) + DEPTH, FRAME, np.uint32)
+    starts = np.arange(n) * (depth + 1) + bounds[:-1] + depth
+    framed = np.full(len(data) + n * (depth + 1) + depth, FRAME, np.int64)
     framed[np.arange(len(data)) + np.repeat(starts - bounds[:-1], lengths)] = data
-    packed = (framed[:-3] << 24) | (framed[1:-2] << 16) | (framed[2:-1] << 8) | framed[3:]
+    packed = np.zeros(max(len(framed) - depth, 0), np.int64)
+    for k in range(depth + 1):
+        packed = (packed << 8) | framed[k : len(framed) - depth + k]
     # a text of n bytes has n + 1 grams that end inside it or on its end; the next ones end in the next frame
     ends = np.append(0, np.cumsum(lengths + 1))
-    place = np.arange(ends[-1]) + np.repeat(np.arange(n) * DEPTH, lengths + 1)
+    place = np.arange(ends[-1]) + np.repeat(np.arange(n) * depth, lengths + 1)
     return packed[place], ends
 
 
@@ -97,10 +101,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             gram, at = grams(data, bounds)
             mine = np.repeat(use, np.diff(at))
             unique, n = np.unique(gram[mine], return_counts=True)
-            contexts.append((unique.astype(np.int64), n))
+            contexts.append((unique, n))
             # grams of held-out texts are listed too, with no count: they need a score
             unique = np.unique(gram[~mine])
-            contexts.append((unique.astype(np.int64), np.zeros(len(unique), np.int64)))
+            contexts.append((unique, np.zeros(len(unique), np.int64)))
             if len(words) >= FLUSH:
                 yield send(words, True)
                 yield send(contexts, False)
@@ -111,7 +115,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def corpus_counts(docs: DataFrame, learnt: Column) -> DataFrame:
-    """(is_word, key, n): training counts of words (hash keys; END for the end token) and of 4-grams."""
+    """(is_word, key, n): training counts of words (hash keys; END for the end token) and of grams."""
     rows = docs.select(F.col("text").cast("string").alias("text"), learnt.alias("learnt"))
     parts = rows.mapInArrow(_count_batches, "is_word boolean, key long, n long")
     return parts.groupBy("is_word", "key").agg(F.sum("n").alias("n"))
@@ -137,141 +141,108 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - np.where(x < 8, np.log(rise), 0.0)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte counts (contexts x 256) to counts of zeros and ones of the decisions (contexts x 256).
-
-    Decision 1 is the highest bit; decision 2 d + b follows decision d with outcome b; 0 is unused.
-    """
-    nodes = np.zeros((counts.shape[0], 512))
-    nodes[:, 256:] = counts
-    for d in range(255, 0, -1):
-        nodes[:, d] = nodes[:, 2 * d] + nodes[:, 2 * d + 1]
-    zeros, ones = nodes[:, 0::2].copy(), nodes[:, 1::2].copy()
-    zeros[:, 0] = ones[:, 0] = 0
-    return zeros, ones
-
-
-def weigh(log_own: np.ndarray, log_below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log Pw of nodes from their estimate and their children's product, and the estimate's weight."""
-    log_w = np.logaddexp(log_own, log_below) - _LOG2
-    return log_w, np.exp(log_own - _LOG2 - log_w)
+@F.pandas_udf(StructType([StructField("log_w", DoubleType()), StructField("own", DoubleType())]))
+def _weigh(zeros: pd.Series, ones: pd.Series, below: pd.Series) -> pd.DataFrame:
+    """log Pw of nodes from their counts and their children's log product (null: deepest), and the own estimate's weight."""
+    log_own = log_kt(zeros.to_numpy(float), ones.to_numpy(float))
+    lower = below.to_numpy(float)
+    deepest = np.isnan(lower)
+    log_w = np.where(deepest, log_own, np.logaddexp(log_own, np.where(deepest, 0.0, lower)) - _LOG2)
+    return pd.DataFrame({"log_w": log_w, "own": np.where(deepest, 1.0, np.exp(log_own - _LOG2 - log_w))})
 
 
-_PATH = np.array([[(256 + b) >> (8 - k) for k in range(8)] for b in range(256)])  # decisions of a byte
-_BIT = np.array([[b >> (7 - k) & 1 for k in range(8)] for b in range(256)])
+# sums of these are exact, so runs agree
+_EXACT = "decimal(38,12)"
 
 
-def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Probability of a one after these counts."""
-    return (ones + 0.5) / (zeros + ones + 1.0)
-
-
-def byte_logs(p_one: np.ndarray) -> np.ndarray:
-    """log probability of each byte (contexts x 256) from the decisions' probabilities (contexts x 256)."""
-    out = np.zeros((p_one.shape[0], 256))
-    for k in range(8):
-        p = p_one[:, _PATH[:, k]]
-        out += np.log(np.where(_BIT[:, k], p, 1 - p))
-    return out
-
-
-def _subtree(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows (key, n) under one pair of last bytes: contexts, row numbers, bytes and counts (contexts x 256)."""
-    key = rows["key"].to_numpy(np.int64)
-    contexts, place = np.unique(key >> 8, return_inverse=True)
-    cells = np.bincount(place * 256 + (key & 255), rows["n"].to_numpy(float), 256 * len(contexts))
-    counts = cells.reshape(-1, 256)
-    return contexts, place, key & 255, counts
-
-
-def _lower_weights(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums that the upper levels need: per decision the counts and log Pw at depth 2, of one pair of bytes."""
-    _, _, _, counts = _subtree(rows)
-    below = log_kt(*decisions(counts)).sum(axis=0)
-    zeros, ones = decisions(counts.sum(axis=0, keepdims=True))
-    log_w, _ = weigh(log_kt(zeros, ones)[0], below)
-    d = np.flatnonzero((zeros + ones)[0] > 0)
-    return pd.DataFrame(
-        {"last": np.int32(rows["pair"].iloc[0] & 255), "decision": d.astype(np.int32), "zeros": zeros[0][d], "ones": ones[0][d], "log_w": log_w[d]}
-    )
+def _decided(counts: DataFrame) -> DataFrame:
+    """One row for each gram and decision of its newest byte: key, n, node of the deepest level, bit.
 
-
-def upper_levels(sums: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Per last byte and decision (256 x 256): the probability of a one and the share that goes to depth 2.
-
-    ``sums`` has zeros, ones and log_w per (last, decision). The result already mixes depths 0 and 1.
+    Decision 1 is the highest bit; decision 2 d + b follows decision d with outcome b. A node is its
+    context, the last byte lowest, times 256 plus its decision.
     """
-    zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
-    at = (sums["last"].to_numpy(), sums["decision"].to_numpy())
-    zeros[at], ones[at], below[at] = sums["zeros"], sums["ones"], sums["log_w"]
-    log_w, own = weigh(log_kt(zeros, ones), below)
-    root_zeros, root_ones = zeros.sum(axis=0), ones.sum(axis=0)
-    _, root_own = weigh(log_kt(root_zeros, root_ones), log_w.sum(axis=0))
-    p = root_own * _estimate(root_zeros, root_ones) + (1 - root_own) * own * _estimate(zeros, ones)
-    return p, (1 - root_own) * (1 - own)
-
-
-def gram_logs(counts: DataFrame) -> DataFrame:
-    """(key, n, log_p): natural log probability of the newest byte of each 4-gram after the three before it."""
-    rows = counts.where("not is_word").select((F.shiftright("key", 8).bitwiseAND(0xFFFF)).alias("pair"), "key", "n")
-    parts = rows.groupBy("pair").applyInPandas(
-        _lower_weights, "last int, decision int, zeros double, ones double, log_w double"
+    byte, context = F.col("key").bitwiseAND(255), F.shiftright("key", 8)
+    of_byte = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda k: F.struct(
+            F.call_function("shiftright", byte + 256, (8 - k).cast("int")).alias("decision"),
+            F.call_function("shiftright", byte, (7 - k).cast("int")).bitwiseAND(1).alias("bit"),
+        ),
     )
-    # at most 65,536 rows whatever the corpus; ordered sums, so runs agree
-    sums = parts.groupBy("last", "decision").agg(
-        F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"),
-        F.aggregate(F.array_sort(F.collect_list("log_w")), F.lit(0.0), lambda a, x: a + x).alias("log_w"),
-    )
-    upper = upper_levels(sums.toArrow().to_pandas())
-
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        _, place, byte, counts = _subtree(rows)
-        zeros, ones = decisions(counts)
-        pair_zeros, pair_ones = decisions(counts.sum(axis=0, keepdims=True))
-        _, own = weigh(log_kt(pair_zeros, pair_ones), log_kt(zeros, ones).sum(axis=0, keepdims=True))
-        last = int(rows["pair"].iloc[0]) & 255
-        p, share = upper[0][last], upper[1][last]
-        p = p + share * (own * _estimate(pair_zeros, pair_ones) + (1 - own) * _estimate(zeros, ones))
-        return pd.DataFrame({"key": rows["key"], "n": rows["n"], "log_p": byte_logs(p)[place, byte]})
-
-    return rows.groupBy("pair").applyInPandas(score, "key long, n long, log_p double")
+    rows = counts.where("not is_word").select("key", "n", context.alias("context"), F.explode(of_byte).alias("d"))
+    return rows.select("key", "n", (F.col("context") * 256 + F.col("d.decision")).alias("node"), F.col("d.bit").alias("bit"))
+
+
+def _parent(level: int) -> Column:
+    """The node one byte less deep, of a node of ``level``."""
+    context = F.shiftright("node", 8).bitwiseAND(F.lit((1 << 8 * (level - 1)) - 1))
+    return (context * 256 + F.col("node").bitwiseAND(255)).alias("parent")
+
+
+def gram_logs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, n, log_p): natural log probability of the newest byte of each gram after the ones before it."""
+    decided = _decided(counts)
+    sums = [F.sum(F.when(F.col("bit") == b, F.col("n")).otherwise(0)).alias(name) for b, name in ((0, "zeros"), (1, "ones"))]
+    level = decided.groupBy("node").agg(*sums).withColumn("below", F.lit(None).cast("double"))
+    levels: list[DataFrame] = []
+    for length in range(depth, -1, -1):
+        weighed = level.select("node", "zeros", "ones", _weigh("zeros", "ones", "below").alias("w"))
+        levels.append(stored(weighed.select("node", "zeros", "ones", "w.log_w", "w.own"), "level"))
+        if length:
+            parts = levels[-1].select(_parent(length), "zeros", "ones", F.col("log_w").cast(_EXACT).alias("log_w"))
+            level = parts.groupBy(F.col("parent").alias("node")).agg(
+                F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").cast("double").alias("below")
+            )
+    estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+    above = levels[-1].select("node", (F.col("own") * estimate).alias("p"), (1 - F.col("own")).alias("share"))
+    for length in range(1, depth + 1):
+        own = levels[depth - length].select("node", _parent(length), "own", estimate.alias("estimate"))
+        own = own.join(above.toDF("parent", "p", "share"), "parent")
+        above = own.select(
+            "node", (F.col("p") + F.col("share") * F.col("own") * F.col("estimate")).alias("p"), (F.col("share") * (1 - F.col("own"))).alias("share")
+        )
+    log_p = F.log(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))).cast(_EXACT)
+    cost = decided.join(above.select("node", "p"), "node").groupBy("key").agg(F.max("n").alias("n"), F.sum(log_p).cast("double").alias("log_p"))
+    return cost
 
 
 # ---------------------------------------------------------------- scoring
 
 
 class Tables(NamedTuple):
-    """Frequent words and contexts, for lookups inside tasks; plain arrays, so they can be shipped."""
+    """Frequent words and grams, for lookups inside tasks; plain arrays, so they can be shipped."""
 
     words: np.ndarray  # sorted keys
     word_counts: np.ndarray
-    code: np.ndarray  # byte -> number among the bytes of frequent 4-grams, 0: none of them
-    row: np.ndarray  # three codes -> row of ``logs``, 0: no frequent context
-    logs: np.ndarray  # log probability by row and the newest byte's code, NaN where unknown
+    grams: np.ndarray  # sorted keys
+    logs: np.ndarray
 
 
 def frequent(words: pd.DataFrame, logs: pd.DataFrame) -> Tables:
-    order = np.argsort(words["key"].to_numpy())
-    keys = logs["key"].to_numpy(np.int64)
-    seen = np.unique(np.concatenate([keys >> s & 255 for s in (0, 8, 16, 24)]))
-    code = np.zeros(256, np.int64)
-    code[seen] = np.arange(1, len(seen) + 1)
-    size = len(seen) + 1
-    unique, place = np.unique(_context(code, size, keys), return_inverse=True)
-    row = np.zeros(size**3, np.int32)  # at most 257**3 by construction
-    row[unique] = np.arange(1, len(unique) + 1)
-    table = np.full((len(unique) + 1, size), np.nan)
-    table[place + 1, code[keys & 255]] = logs["log_p"]
-    return Tables(words["key"].to_numpy()[order], words["n"].to_numpy()[order], code, row, table)
+    order, by_gram = np.argsort(words["key"].to_numpy()), np.argsort(logs["key"].to_numpy())
+    return Tables(
+        words["key"].to_numpy()[order], words["n"].to_numpy()[order], logs["key"].to_numpy()[by_gram], logs["log_p"].to_numpy()[by_gram]
+    )
 
 
-def _context(code: np.ndarray, size: int, gram: np.ndarray) -> np.ndarray:
-    return (code[gram >> 24] * size + code[gram >> 16 & 255]) * size + code[gram >> 8 & 255]
+def at_least(counts: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` of the counts ``n`` reach: few numbers decide, whatever the table's size."""
+    powers = counts.where("n > 0").groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("rows"))
+    found = {row.power: row.rows for row in powers.collect()}
+    power, reach = max(found, default=0) + 1, 0
+    while power > 0 and reach + found.get(power - 1, 0) <= most:
+        power -= 1
+        reach += found.get(power, 0)
+    return 1 << power
 
 
 def _log_of(tables: Tables, gram: np.ndarray) -> np.ndarray:
-    row = tables.row[_context(tables.code, tables.logs.shape[1], gram)]
-    return tables.logs[row, tables.code[gram & 255]]
+    """log probabilities, NaN where the gram is no frequent one."""
+    if not len(tables.grams):
+        return np.full(len(gram), np.nan)
+    unique, place = np.unique(gram, return_inverse=True)
+    at = np.minimum(np.searchsorted(tables.grams, unique), len(tables.grams) - 1)
+    return np.where(tables.grams[at] == unique, tables.logs[at], np.nan)[place]
 
 
 def _count_of(tables: Tables, word: np.ndarray) -> np.ndarray:
@@ -326,7 +297,7 @@ def _score_batches(tables, scale: float):
                 rest = _rest(
                     np.concatenate([of_word[rare], of_gram[odd]]),
                     np.concatenate([np.ones(rare.sum(), bool), np.zeros(odd.sum(), bool)]),
-                    np.concatenate([key[rare], gram[odd].astype(np.int64)]),
+                    np.concatenate([key[rare], gram[odd]]),
                     n,
                 )
                 yield pa.RecordBatch.from_arrays(
@@ -348,7 +319,7 @@ def _score_batches(tables, scale: float):
     return score
 
 
-def score_documents(docs: DataFrame, hot_words: int = HOT_WORDS, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def score_documents(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """Learn from the documents that are not held out and score all of them.
 
     Takes doc_id and text; other columns are ignored. Returns doc_id, held_out, n_tokens (words and one
@@ -361,23 +332,22 @@ def score_documents(docs: DataFrame, hot_words: int = HOT_WORDS, hot_contexts: i
     spark = docs.sparkSession
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
     out = held_out(F.col("doc_id"))
-    counts = materialise(corpus_counts(rows, ~out), "counts")
+    counts = stored(corpus_counts(rows, ~out), "counts")
     words = counts.where("is_word")
     train = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     total, vocabulary = train["n"], train["v"]
     scale = total + SMOOTHING * (vocabulary + 1)
-    logs = materialise(gram_logs(counts), "gram_logs")
+    logs = stored(gram_logs(counts), "gram_logs")
 
     end = words.where(F.col("key") == F.lit(int(END))).select("n").first()
     end_count = end["n"] if end else 0
-    hot = words.where(F.col("key") != F.lit(int(END))).orderBy(F.desc("n"), "key").limit(hot_words).select("key", "n").toArrow().to_pandas()
-    by_context = logs.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("n"))
-    best = by_context.orderBy(F.desc("n"), "context").limit(hot_contexts).select("context")
-    hot_logs = logs.join(best, F.shiftright("key", 8) == F.col("context"), "left_semi").select("key", "log_p")
-    tables = spark.sparkContext.broadcast(tuple(frequent(hot, hot_logs.toArrow().to_pandas())))
+    others = words.where(F.col("key") != F.lit(int(END)))
+    hot = others.where(F.col("n") >= at_least(others, hot_words)).select("key", "n").toArrow().to_pandas()
+    hot_logs = logs.where(F.col("n") >= at_least(logs, hot_grams)).select("key", "log_p").toArrow().to_pandas()
+    tables = spark.sparkContext.broadcast(tuple(frequent(hot, hot_logs)))
 
     scored = rows.select(F.col("text").cast("string").alias("text"), "doc_id", out.alias("held_out"))
-    scored = materialise(scored.mapInArrow(_score_batches(tables, scale), SCORED), "scored")
+    scored = stored(scored.mapInArrow(_score_batches(tables, scale), SCORED), "scored")
     rest = scored.select("row_id", F.explode("rest").alias("r")).select("row_id", "r.*")
     rare = rest.where("is_word").join(words.select("key", "n"), "key", "left")
     n = F.coalesce("n", F.lit(0))

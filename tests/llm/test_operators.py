@@ -351,16 +351,18 @@ def brute_ctw(train, text):
     """Natural log probability of ``text`` by recursion over the trees, straight from the definition."""
     from math import exp, lgamma, log
 
+    deepest = language_model.DEPTH
+
     def frame(t):
-        return b"\xff\xff\xff" + t.lower().encode() + b"\xff"
+        return b"\xff" * deepest + t.lower().encode() + b"\xff"
 
     counts, children = {}, {}
     for t in train:
         d = frame(t)
-        for p in range(3, len(d)):
+        for p in range(deepest, len(d)):
             for k in range(8):
                 node = (256 + d[p]) >> (8 - k)
-                for depth in range(4):
+                for depth in range(deepest + 1):
                     key = (node, d[p - depth : p])
                     counts.setdefault(key, [0, 0])[d[p] >> (7 - k) & 1] += 1
                     if depth:
@@ -371,25 +373,25 @@ def brute_ctw(train, text):
         return lgamma(a + 0.5) + lgamma(b + 0.5) - 2 * lgamma(0.5) - lgamma(a + b + 1)
 
     def weighted(key):
-        if len(key[1]) == 3:
+        if len(key[1]) == deepest:
             return kt(key)
         below = sum(weighted(c) for c in children.get(key, ()))
         top = max(kt(key), below)
         return top + log((exp(kt(key) - top) + exp(below - top)) / 2)
 
     def p_one(node, context, depth):
-        key = (node, context[3 - depth :])
+        key = (node, context[deepest - depth :])
         a, b = counts.get(key, (0, 0))
         own = (b + 0.5) / (a + b + 1)
-        if depth == 3:
+        if depth == deepest:
             return own
         share = exp(kt(key) - log(2) - weighted(key))
         return share * own + (1 - share) * p_one(node, context, depth + 1)
 
     d, total = frame(text), 0.0
-    for p in range(3, len(d)):
+    for p in range(deepest, len(d)):
         for k in range(8):
-            q = p_one((256 + d[p]) >> (8 - k), d[p - 3 : p], 0)
+            q = p_one((256 + d[p]) >> (8 - k), d[p - deepest : p], 0)
             total += log(q if d[p] >> (7 - k) & 1 else 1 - q)
     return total
 
@@ -484,7 +486,7 @@ def test_chat(spark):
 
 def test_grams_frame_texts():
     data, bounds = np.frombuffer(b"abc", np.uint8), np.array([0, 2, 2, 3])
-    gram, at = language_model.grams(data, bounds)
+    gram, at = language_model.grams(data, bounds, 3)
     assert [hex(g) for g in gram] == ["0xffffff61", "0xffff6162", "0xff6162ff", "0xffffffff", "0xffffff63", "0xffff63ff"] and list(at) == [0, 3, 4, 6]
 
 
