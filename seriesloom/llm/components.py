@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.session import materialise
+from seriesloom.llm.store import stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,8 +19,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     links = links.select("a", "b").where("a <> b").distinct()
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = materialise(nodes.withColumn("label", F.col("node")), "labels")
-    links = materialise(links, "links")
+    labels = stored(nodes.withColumn("label", F.col("node")), "labels", narrow=True)
+    links = stored(links, "links", narrow=True)
     turn = 0
     while not links.isEmpty():
         turn += 1
@@ -28,19 +28,21 @@ def connected_components(links: DataFrame) -> DataFrame:
         ranked = F.struct(F.xxhash64(F.lit(turn), F.col("other")).alias("rank"), F.col("other").alias("to"))
         best = both.groupBy("node").agg(F.min(ranked).alias("best"))
         own = F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("rank"), F.col("node").alias("to"))
-        moves = materialise(best.select("node", F.least("best", own)["to"].alias("to")), "moves")
-        labels = materialise(
+        moves = stored(best.select("node", F.least("best", own)["to"].alias("to")), "moves", narrow=True)
+        labels = stored(
             labels.join(moves.toDF("label", "to"), "label", "left").select(
                 "node", F.coalesce("to", "label").alias("label")
             ),
             "labels",
+            narrow=True,
         )
-        links = materialise(
+        links = stored(
             links.join(moves.toDF("a", "to_a"), "a")
             .join(moves.toDF("b", "to_b"), "b")
             .where("to_a <> to_b")
             .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
             .distinct(),
             "links",
+            narrow=True,
         )
     return labels

@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "f1", "f2", "n", "first_id", F.coalesce("label", "class_id").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    groups = materialise(labelled.join(least, "label").select("f1", "f2", "n", "component_id"), "groups")
+    groups = stored(labelled.join(least, "label").select("f1", "f2", "n", "component_id"), "groups", narrow=True)
     placed = sketches.drop("registers").join(groups, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return placed.select(
