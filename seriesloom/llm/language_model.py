@@ -78,7 +78,7 @@ def _counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return unique, np.bincount(place, weights, len(unique)).astype(np.int64)
 
 
-FLUSH = 64  # chunks whose counts are added up in a task before they are sent on
+FLUSH = 16  # chunks whose counts are added up in a task before they are sent on
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
