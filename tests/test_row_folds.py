@@ -180,3 +180,19 @@ def test_inventory_of_paths(spark):
     assert got == sorted(
         [("st", "se", "1.dcm", "/x/st/se/1.dcm", 2), ("st", "se", "2.dcm", "/x/st/se/2.dcm", 2), (None, None, "lonely", "lonely", 2), (None, None, None, None, 2)], key=str
     )
+
+
+def test_wide_folds_run_as_compiled_code(spark):
+    """A stage whose method is too long for the JVM's compiler is made of smaller ones; a session's own limit stays."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name, None)
+    df = spark.createDataFrame([("s", "a"), ("s", "b")], "series_uid string, manufacturer string")
+    try:
+        spark.conf.unset(name)
+        assert summarise.summarise(df).first().manufacturer == "a b"
+        assert int(spark.conf.get(name)) == 8000
+        spark.conf.set(name, "65535")
+        summarise.summarise(df)
+        assert spark.conf.get(name) == "65535"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
