@@ -92,3 +92,16 @@ def test_ngrams_skip_one_letter_words_and_match_brute_force(spark):
 
 def test_label_of(spark):
     assert cells(spark, ["0", "1", "7"], lambda c: text.label_of(c, ["adc", "t2"])) == ["ADC", "T2", None]
+
+
+def test_words_are_whole_runs_of_word_characters(spark):
+    """The pattern cuts what one with word boundaries cuts, beside every code point."""
+    rows = spark.range(0x110000).where("id not between 55296 and 57343")
+    rows = rows.selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
+    rows = rows.selectExpr("concat(c, c, ' a', c, '-', c, 'a ', c, '\\u0301', c, ' x', c, 'y ', c, ' _9', c) AS v")
+
+    def cut(pattern):
+        return F.regexp_extract_all("v", F.lit(pattern), 0)
+
+    assert ngrams.WORD != r"(?U)\b\w\w+\b"
+    assert rows.where(cut(ngrams.WORD) != cut(r"(?U)\b\w\w+\b")).isEmpty()
