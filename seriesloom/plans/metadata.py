@@ -11,7 +11,8 @@ from seriesloom.functions.bvalues import bytes_bvalue
 from seriesloom.operators.clean import filter_max_bvalue
 from seriesloom.plans.extract import extract_features
 from seriesloom.roles import HEADER_TAGS
-from seriesloom.sources.nested_json import KEYS, to_documents
+from seriesloom.session import materialise
+from seriesloom.sources.nested_json import KEYS, only_columns, to_documents
 
 # the b-value column that holds a vendor's own value, by what its manufacturer's name contains
 VENDORS = {"siemens": "diffusion_bvalue_siemens", "ge med": "diffusion_bvalue_ge"}
@@ -58,4 +59,6 @@ def metadata_documents(
     rows = metadata_rows(documents, order, json, form, patient, raw)
     if features is None:
         features = [*[c for c in HEADER_TAGS if c not in KEYS], "diffusion_bvalue_final", order]
+    # written, as the ranges' sample would parse all documents once more
+    rows = materialise(only_columns(rows, [*KEYS, *features, order]), "metadata_rows")
     return to_documents(rows, features, order, instances_per_document=instances_per_document)

@@ -114,7 +114,7 @@ def to_documents(
     NULL is written as JSON null, a NULL key as the missing mark.
     """
     # a series lies over neighbouring ranges; written, as a second run would sample other ranges
-    ranged = df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
+    ranged = only_columns(df, [*keys, *features, order]).repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
     ranged = materialise(ranged, "ranged")
     counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_in_range"))
     series = W.partitionBy(*keys)
@@ -138,6 +138,14 @@ def to_documents(
     return grouped.select(F.to_json(nested, {"ignoreNullFields": "false"}).alias("document"))
 
 
+def only_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``df`` without the columns that none of ``names`` (columns or fields of them) stands for."""
+    if any("`" in name for name in names):
+        return df
+    wanted = {part for name in names for part in (name.lower(), name.split(".")[0].lower())}
+    return df.drop(*[c for c in df.columns if c.lower() not in wanted])
+
+
 def write_documents(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines."""
     documents.select("document").write.mode(mode).text(path)

@@ -125,3 +125,13 @@ def test_extraction_takes_ge_bvalue_and_drops_segmentations(spark):
     df = spark.createDataFrame([(1, image), (2, seg), (3, json.dumps(body))], "i int, tags string")
     rows = extract_features(df, keep=("i",)).collect()
     assert [(r.i, r.diffusion_bvalue_final, r.series_description) for r in rows] == [(1, "50", "t2 ")]
+
+
+def test_documents_take_only_their_columns_through_the_shuffle(spark, monkeypatch):
+    written = []
+    plain = nested_json.materialise
+    monkeypatch.setattr(nested_json, "materialise", lambda df, name: written.append(df.columns) or plain(df, name))
+    rows = spark.createDataFrame([("p", "s", "e", 1, "x", "y")], "patient_id string, study_uid string, series_uid string, id int, TE string, other string")
+    (row,) = nested_json.to_documents(rows, ["te"], "id").collect()
+    assert json.loads(row.document) == {"p": {"s": {"e": {"#at": [0], "te": ["x"]}}}}
+    assert written == [["patient_id", "study_uid", "series_uid", "id", "TE", "_range"]]
