@@ -157,6 +157,36 @@ def test_repeats(docs, group):
     assert repeats.strip_repeats(empty(docs)).count() == 0
 
 
+def test_repeats_where_joins_split_a_skewed_anchor(spark):
+    """A cell's different segments meet in one task, however the join before deals them out."""
+    r = random.Random(4)
+    passage = "".join(r.choices("abcdefgh", k=900))
+    cuts = [sorted(r.sample(range(900), 2)) for _ in range(60)]
+    rows = [(i, "".join(r.choices("xyz", k=300)) + passage[a : max(b, a + 420)] + "".join(r.choices("xyz", k=300))) for i, (a, b) in enumerate(cuts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    split = {
+        "autoBroadcastJoinThreshold": "-1",
+        "files.maxPartitionBytes": "4k",
+        "files.openCostInBytes": "4k",
+        "adaptive.coalescePartitions.enabled": "false",
+        "adaptive.advisoryPartitionSizeInBytes": "1",
+        "adaptive.forceOptimizeSkewedJoin": "true",
+        "adaptive.skewJoin.skewedPartitionFactor": "0.1",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+    }
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in split}
+    try:
+        for k, v in split.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        with patch.object(repeats, "GROUP", 8):
+            got = stripped(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    want = brute_repeats([x.text for x in docs.collect()], repeats.LENGTH)
+    assert sorted((r.doc_id, n, s, h) for r, n, s, h in got) == [(i, *w[1:]) for i, w in enumerate(want)]
+
+
 def test_repeats_of_long_texts_in_pieces(spark):
     r = random.Random(1)
     text = "".join(r.choices("abcdefgh", k=9000))
